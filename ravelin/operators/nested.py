@@ -57,7 +57,7 @@ class SchemaGraph:
                 if n and p in objects and root(p) != root(k):
                     a, b = keys[p] - {k}, keys[k]
                     small = a & b
-                    if small and len(small) / min(len(a - objects | small), len(b)) >= ALIKE and len(small) >= 2:
+                    if small and (b <= a or len(small) >= 2 and len(small) / min(len(a - objects | small), len(b)) >= ALIKE):
                         self.kind[root(k)] = root(p)
                         merged = True
         self.kind = {e: root(e) for e in objects}
