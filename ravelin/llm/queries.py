@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import bpe, mojibake
+from ravelin.llm import bpe, mojibake, pii
 from ravelin.llm.common import table
 
 
@@ -18,9 +18,25 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(table(spark, sf_dir, "tickets"))
 
 
+#: Key of the registered query; users pass their own secret.
+DEMO_KEY = "ravelin-demo-key"
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "tickets"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "tickets"), DEMO_KEY)
+
+
+def p4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_table(table(spark, sf_dir, "tickets"), DEMO_KEY)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p6_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_redacted, p4_surrogates, p6_ids)}
 SQL: dict[str, str] = {}
