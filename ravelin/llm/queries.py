@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import bpe, mojibake, pii
+from ravelin.llm import bpe, leakage, mojibake, pii, reading
 from ravelin.llm.common import table
 
 
@@ -38,5 +38,17 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_redacted, p4_surrogates, p6_ids)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.demanding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_redacted, p4_surrogates, p6_ids, p7_found, p8_found, p8_levels)}
 SQL: dict[str, str] = {}
