@@ -78,9 +78,13 @@ def facet_filter(filters: list[tuple[str, str]]) -> Column:
     by_field: dict[str, list[str]] = {}
     for f, v in filters:
         by_field.setdefault(f, []).append(v.strip().lower())
+
+    def any_of(f: str, values: list[str]) -> Column:
+        return F.coalesce(F.exists("facets", lambda x: (x["field"] == f) & F.lower(F.trim(x["value"])).isin(*values)), F.lit(False))
+
     out = F.lit(True)
     for f, values in by_field.items():
-        out = out & F.coalesce(F.exists("facets", lambda x, f=f, values=values: (x["field"] == f) & F.lower(F.trim(x["value"])).isin(*values)), F.lit(False))
+        out = out & any_of(f, values)
     return out
 
 

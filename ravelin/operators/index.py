@@ -81,7 +81,11 @@ def facet_table(records: DataFrame) -> DataFrame:
 
 def posting_table(records: DataFrame, buckets: int = POSTING_BUCKETS) -> DataFrame:
     """(bucket, term, seq, tf_title, tf_body, tf_names): one row for each term of a record."""
-    parts = [F.transform(f"{c}_toks", lambda t, c=c: F.struct(t.alias("term"), F.lit(c).alias("c"))) for c in ("title", "body", "names")]
+
+    def marked(c: str) -> Column:
+        return F.transform(f"{c}_toks", lambda t: F.struct(t.alias("term"), F.lit(c).alias("c")))
+
+    parts = [marked(c) for c in ("title", "body", "names")]
     each = records.select("seq", "n_toks", F.inline(F.concat(*parts)))
     tf = [F.sum((F.col("c") == c).cast("int")).cast("int").alias(f"tf_{c}") for c in ("title", "body", "names")]
     return each.groupBy("term", "seq", "n_toks").agg(*tf).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))

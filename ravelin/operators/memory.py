@@ -161,7 +161,7 @@ def score(now: str, half_life: dict[str, float], pin: list[str], relevance: Colu
     used = F.least(F.coalesce("recall_count", F.lit(0)), F.lit(10)) / 10.0
     fresh = recency(now, half_life)
     raw = 0.4 * importance + 0.3 * fresh + 0.25 * pinned + 0.05 * used if relevance is None else 0.6 * relevance + 0.15 * fresh + 0.15 * importance + 0.07 * pinned + 0.03 * used
-    return F.round(raw * F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("confidence"))), 3)
+    return F.floor(raw * F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("confidence"))) * 1000 + 0.5) / 1000
 
 
 def spread_order(rows: DataFrame, per_subject: int = PER_SUBJECT) -> DataFrame:
