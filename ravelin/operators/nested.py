@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.session import spread
+
 #: A schema graph with more edges than this isn't a schema; the gathering pass refuses it instead of collecting it.
 MAX_EDGES = 20_000
 #: A child whose keys are this much like its parent's is the same element under another name.
@@ -309,7 +311,8 @@ def typed_table(df: DataFrame, path: str, graph: SchemaGraph, key: str, content:
     kept = F.filter(F.col(path), lambda x: x.isNotNull() & has(x))
     keep = [F.coalesce(stripped(F.col(c)), F.lit("")).alias(n) for n, c in carry.items()]
     rows = df.select(F.col(key).alias("row_key"), *keep, F.posexplode(kept).alias("_i", "_x"))
-    return rows.select("row_key", (F.col("_i") + 1).alias("node"), F.lit(0).alias("parent"), *[F.col(f"_x.{f}").alias(f) for f in fields], *carry)
+    taken = {"row_key", "node", "parent", *carry}  # a field of such a name gets an underscore
+    return rows.select("row_key", (F.col("_i") + 1).alias("node"), F.lit(0).alias("parent"), *[F.col(f"_x.`{f}`").alias(f + "_" * (f in taken)) for f in fields], *carry)
 
 
 #: Declared for the ticket data: what a bare scalar means, and what makes a comment a comment.
@@ -322,6 +325,7 @@ def ticket_tables(tickets: DataFrame, raw_tickets: DataFrame) -> tuple[DataFrame
     """(comments of the typed tickets, all rows of all tables of the raw ones)."""
     graph = type_graph(T.StructType([tickets.schema["customer"], tickets.schema["comments"]]))
     typed = typed_table(tickets, "comments", graph, "seq", ("author", "text"), {"customer_id": "customer.id"})
+    raw_tickets = spread(raw_tickets.select("raw_id", "doc"), "raw_id")
     gathered = json_graph(raw_tickets, "doc")
     # comments are a table even where no record of this load repeats them
     gathered.kind.setdefault("comments", "comments")

@@ -18,8 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.session import small_side
-
 #: Years covered by the zone intervals; a local time outside of them gets no offset from a zone.
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 #: Length of a bucket of the exploded intervals, in seconds (a mean Gregorian year).
@@ -131,10 +129,17 @@ class ZoneTable:
             raise ValueError(f"more than {MAX_ZONES} zones in sources")
         rows = zone_intervals([*found, "UTC"])
         self.intervals = spark.createDataFrame(rows, _INTERVALS)
-        abbr = spark.createDataFrame(_abbreviations(rows), "zs_tz string, zs_abbr map<string,bigint>")
+        abbr = _abbreviations(rows)
         named = sources.groupBy("src").agg(F.min(F.struct(F.trim("tz").alias("tz"), F.upper(F.trim("date_order")).alias("o"))).alias("z"))
         named = named.select(F.col("src").alias("zs_src"), F.col("z.tz").alias("zs_tz"), F.col("z.o").alias("zs_order"))
-        self.sources = small_side(named.join(F.broadcast(abbr), "zs_tz", "left"), MAX_SOURCES)
+        few = named.limit(MAX_SOURCES + 1).collect()
+        if len(few) <= MAX_SOURCES:  # as a rule: a local table makes the plan of each use short
+            by_zone = dict(abbr)
+            local = [(*r, by_zone.get(r["zs_tz"])) for r in few]
+            self.sources = F.broadcast(spark.createDataFrame(local, "zs_src string, zs_tz string, zs_order string, zs_abbr map<string,bigint>"))
+        else:
+            zones = spark.createDataFrame(abbr, "zs_tz string, zs_abbr map<string,bigint>")
+            self.sources = named.join(F.broadcast(zones), "zs_tz", "left")
 
 
 def _month(name: Column) -> Column:
@@ -222,19 +227,21 @@ def time_faults(tickets: DataFrame, records: DataFrame, sources: DataFrame) -> D
 
     Tickets are read once for their own two columns and once, pruned to created_at, for the comparison with
     ``records.date``, which is the only shuffle: narrow rows hashed on (src, line), a unique key, so no key
-    is hot. Where (src, line) repeats in tickets all their instants are compared, and one row is given.
+    is hot. Where (src, line) repeats in tickets the record is compared with all of them. Null and blank values are
+    no cases; repeated rows are cases each.
     """
     zones = ZoneTable(tickets.sparkSession, sources)
     t = add_instants(tickets.select("seq", "src", "created_at", "closed_at"), zones, {"_c": "created_at", "_e": "closed_at"})
     bad_end = no_instant("_e_state") | F.coalesce(F.col("_e") < F.col("_c"), F.lit(False))
     fields = F.array_compact(F.array(F.when(no_instant("_c_state"), F.lit("created_at")), F.when(bad_end, F.lit("closed_at"))))
     from_tickets = t.select(F.lit("tickets").alias("tbl"), "seq", F.explode(fields).alias("field"))
+    made = add_instants(tickets.select("src", "line", "created_at"), zones, {"_c": "created_at"}).where(F.col("_c").isNotNull())
+    made = made.groupBy("src", "line").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
     r = add_instants(records.select("seq", "kind", "src", "line", "date"), zones, {"_d": "date"})
-    unread = r.where(no_instant("_d_state")).select(F.lit("records").alias("tbl"), "seq", F.lit("date").alias("field"))
-    ours = r.where((F.col("kind") == "tickets") & F.col("_d").isNotNull()).select("seq", "src", "line", "_d")
-    made = add_instants(tickets.select("src", "line", "created_at"), zones, {"_c": "created_at"}).where(F.col("_c").isNotNull()).select("src", "line", "_c")
-    differ = ours.join(made, ["src", "line"]).where(F.col("_d") != F.col("_c")).select(F.lit("records").alias("tbl"), "seq", F.lit("date").alias("field"))
-    return from_tickets.unionByName(unread).unionByName(differ)
+    # each record is read once: what can't be read is a case by itself, the rest is compared with its ticket
+    differs = (F.col("kind") == "tickets") & ((F.col("_d") != F.col("_lo")) | (F.col("_d") != F.col("_hi")))
+    from_records = r.where(no_instant("_d_state") | (F.col("kind") == "tickets")).join(made, ["src", "line"], "left").where(no_instant("_d_state") | F.coalesce(differs, F.lit(False)))
+    return from_tickets.unionByName(from_records.select(F.lit("records").alias("tbl"), "seq", F.lit("date").alias("field")))
 
 
 def instants(tickets: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
