@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ravelin.session import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["spread", "table"]
 
-def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
-    """Give CPU-heavy Python stages enough tasks where the files alone give too few for the cores.
 
-    A large input has far more splits than cores, so this never shuffles it. ``keys`` must be spread evenly.
-    """
-    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
