@@ -195,8 +195,8 @@ def _one(df: DataFrame, zones: ZoneTable, name: str, raw: str) -> DataFrame:
     clock = F.when(d("h").isNull(), F.lit(0)).when((hour < 24) & (d("mi") < 60) & (F.coalesce(d("s"), F.lit(0)) < 60), hour * 3600 + d("mi") * 60 + F.coalesce(d("s"), F.lit(0)))
     local = F.when(d("y").isNotNull() & d("m").isNotNull() & d("d").isNotNull(), F.unix_date(date).cast("long") * 86400 + clock)
     zone = F.regexp_replace(F.regexp_replace(d("zone"), "−", "-"), r"^(?:UTC|GMT)(?=[+-])", "")
-    digits = F.rpad(F.lpad(F.regexp_replace(zone, r"[+:-]", ""), 2, "0"), 4, "0")
-    digits = F.when(F.length(F.regexp_replace(zone, r"[+:-]", "")) == 3, F.lpad(F.regexp_replace(zone, r"[+:-]", ""), 4, "0")).otherwise(digits)
+    digits = F.regexp_replace(zone, r"[+:-]", "")
+    digits = F.when(F.length(digits) <= 2, F.concat(F.lpad(digits, 2, "0"), F.lit("00"))).otherwise(F.lpad(digits, 4, "0"))
     number = digits.substr(1, 2).try_cast("int") * 3600 + digits.substr(3, 2).try_cast("int") * 60
     fixed = F.when(zone.isin("Z", "UTC", "UT"), F.lit(0)).when(zone.rlike(r"^[+-]\d") & (number <= 64800), F.when(zone.startswith("-"), -number).otherwise(number))
     zone_name = F.when((F.coalesce(zone, F.lit("")) == "") & (d("named") != ""), F.regexp_extract(F.col(f"`{raw}`"), r"\[([^\]]+)\]", 1)).otherwise(F.col("zs_tz"))
