@@ -32,7 +32,9 @@ WRITTEN_IN = ("cp932", "euc_jp", "koi8-r", "cp1251", "cp866", "cp1250", "cp1252"
 #: count as garbled, and bounds of one search.
 UTF8_COST, PAGE_COST, LEAST_GAIN, MAX_STEPS, MAX_STATES = 1.0, 4.0, 2.0, 4, 200
 #: Longer pieces are searched in parts of this length; the parts are joined again, nothing is cut off.
-PIECE = 4_000
+PIECE = 1_000
+#: States dearer than the best one by more than this are not followed; a wrong turn costs that much in a word or two.
+SLACK = 12.0
 MEMO = 200_000
 
 #: How often (in 1000 letters) a letter stands in Russian text.
@@ -189,7 +191,7 @@ def search(text: str) -> tuple[str, tuple[str, ...]]:
     queue: list[tuple[float, float, str, tuple[str, ...]]] = [(start, 0.0, text, ())]
     while queue and len(seen) < MAX_STATES:
         cost, spent, state, path = heappop(queue)
-        if cost > best_cost + PAGE_COST + 0.5 * start:
+        if cost > best_cost + PAGE_COST + min(0.5 * start, SLACK):
             break
         if len(path) == MAX_STEPS:
             continue

@@ -69,8 +69,9 @@ STARTERS = set(
     "die der das ein eine wir sie ist bitte nach für im am le la les un une merci où el los las una por o os as se ça".split()
 )
 
-_CAP = r"[^\W\d_a-zß-öø-ÿ][\w’'-]*\w"
-_WORD = r"[^\W\d_][\w’'-]*"
+#: Parts of names are bounded, so that no text can make a search run back and forth over all of it.
+_CAP = r"[^\W\d_a-zß-öø-ÿ][\w’'-]{0,60}\w"
+_WORD = r"[^\W\d_][\w’'-]{0,60}"
 
 EMAIL = re.compile(
     r"(?<![\w.+-])(?P<u>\w[\w.+-]*)[@＠](?P<d>(?:[\w-]+[.．])+[^\W\d_]{2,})(?![\w@])"
@@ -84,7 +85,7 @@ _ID_WORD = (
     r"passport(?:\s+(?:number|no\.?|nr\.?))?|reisepass(?:nummer|\s*-?\s*nr\.?)?|(?:personal)?ausweis(?:nummer|\s*-?\s*nr\.?)|(?:national\s+)?(?:ID|identity)\s+card(?:\s+(?:number|no\.?))?|"
     r"tax\s+(?:id|number|no\.?)|TIN|steuer-?(?:id|nummer|identifikationsnummer)|sozialversicherungsnummer|pasaporte|passeport|num[ée]ro\s+de\s+s[ée]curit[ée]\s+sociale"
 )
-ID = re.compile(rf"\b(?:{_ID_WORD})(?:\s*[:#]\s*|\s+(?:is\s+|ist\s+|est\s+|es\s+|n[o°º]\.?\s*)?)(?P<v>(?=[\w .-]*\d[\w .-]*\d)[A-Z]{{0,3}}[ -]?(?:[A-Z]?\d[\dA-Z]*)(?:[ .-](?:\d[\dA-Z]*|[A-Z]\b))*)", re.I)
+ID = re.compile(rf"\b(?:{_ID_WORD})(?:\s*[:#]\s*|\s+(?:is\s+|ist\s+|est\s+|es\s+|n[o°º]\.?\s*)?)(?P<v>(?=[\w .-]{{0,20}}\d[\w .-]{{0,20}}\d)[A-Z]{{0,3}}[ -]?(?:[A-Z]?\d[\dA-Z]*)(?:[ .-](?:\d[\dA-Z]*|[A-Z]\b))*)", re.I)
 CPF = re.compile(r"(?<![\d.])\d{3}\.\d{3}\.\d{3}-\d{2}(?!\d)")
 DNI = re.compile(r"(?<![\dA-Za-z.-])\d{8}-?[A-Z](?![\w-])")
 _TOWN = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[’'-][^\W\d_]+)*"
@@ -92,7 +93,7 @@ _CITY = rf"{_TOWN}(?:[ -](?:[a-z]{{2,4}} )?{_TOWN}){{0,2}}"
 _EN_WAY = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Way|Hill|Crescent|Cres\.?|Close|Drive|Court|Ct\.?|Place|Square|Sq\.?|Terrace|Boulevard|Blvd\.?|Row|Mews|Gardens|Grove|Parkway)"
 ADDRESS = re.compile(
     rf"(?:{_CAP}(?: {_CAP})? (?:Cottage|House|Lodge|Farm), )?\b\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}{_EN_WAY}(?!\w)(?:,? (?:Apt|Apartment|Flat|Unit|Suite)\.? ?\w+)?(?:, {_CITY})?(?:,? [A-Z]{{1,2}}\d[\dA-Z]? ?\d[A-Z]{{2}}\b|,? [A-Z]{{2}} \d{{5}}\b)?"
-    rf"|\b[^\W\d_][\w’'-]*(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|ufer|damm|chaussee) \d{{1,4}} ?[a-z]?\b(?:, (?:[A-Z]-)?\d{{4,5}} {_CITY})?"
+    rf"|\b[^\W\d_][\w’'-]{{0,60}}(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|ufer|damm|chaussee) \d{{1,4}} ?[a-z]?\b(?:, (?:[A-Z]-)?\d{{4,5}} {_CITY})?"
     rf"|\b{_CAP}(?:er)? (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ring) \d{{1,4}}[a-z]?\b(?:, (?:[A-Z]-)?\d{{4,5}} {_CITY})?"
     rf"|\b\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?i:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route) (?:de la |de l[’']|du |des |de |d[’'])?{_CAP}(?:[ -]{_CAP}){{0,3}}(?:, \d{{5}} {_CITY})?"
     rf"|\b(?i:calle|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|rua|travessa|via|viale|ulica|ul\.) (?:de la |de los |de las |del |de |das |dos |da |do )?{_CAP}(?: (?:de |del )?{_CAP}){{0,3}},? \d{{1,4}}(?:, \d+\.?[ºª°] ?\w+)?(?:, (?:\d{{4,5}}(?:-\d{{3}})? )?{_CITY})?"
@@ -111,7 +112,7 @@ _TITLE = re.compile(rf"(?<![\w.])(?P<t>(?i:{'|'.join(TITLES)}))\b\.?\s+(?:(?:Dr|
 _GIVEN = "|".join(sorted(map(re.escape, GIVEN), key=len, reverse=True))
 _GIVEN_FIRST = re.compile(rf"(?<![\w@.-])(?P<g>(?:{_GIVEN}))(?![\w’'-])(?:\s+(?P<i>[^\W\d_])\.)?(?P<p>(?:\s+(?:{PARTICLES})\b)*)(?:\s+(?P<s>{_WORD}))?", re.I)
 _GIVEN_LAST = re.compile(rf"(?<![\w@.-])(?P<s>(?:(?:{PARTICLES})\s+)*{_CAP}),\s+(?P<g>(?i:{_GIVEN}))\b(?:\s+[^\W\d_]\.)?")
-_INITIAL = re.compile(rf"(?:^|(?P<cue>[^\W\d_][\w’']*|[.!?:,;(<\n-])\s*)(?<![\w.])(?P<i>[^\W\d_a-zß-öø-ÿ])\.\s(?P<p>(?:(?:{PARTICLES})\s)*)(?P<s>{_CAP})")
+_INITIAL = re.compile(rf"(?:^|(?P<cue>(?<![\w’'])[^\W\d_][\w’']{{0,30}}|[.!?:,;(<\n-])\s*)(?<![\w.])(?P<i>[^\W\d_a-zß-öø-ÿ])\.\s(?P<p>(?:(?:{PARTICLES})\s)*)(?P<s>{_CAP})")
 _CUES = set("regards contact sender by to ask reach with laut gruß llame a appeler d’appeler employee von an bei from for dear hi hello hallo bonjour cc attn thanks cheers sincerely greetings grüße best saludos cordialement merci wishes and et und y e de".split())
 _INTRODUCED = re.compile(rf"(?:Regards,|[Bb]est wishes,?\s|Contact:|Sender:|Gruß|[Ss]poke to|filled in by|[Aa]greed with|lost by|Laut|Llame a|appeler|[Nn]ew employee|forwarded by|can reach)\s*(?P<n>{_CAP}\s(?:(?:{PARTICLES})\s)*{_CAP})(?=[\s,.(<]|$)")
 _THINGS_NEAR = re.compile(r"plug-?ins?\b|\bmodules?\b|\btemplates?\b|product names?", re.I)
