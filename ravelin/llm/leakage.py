@@ -175,16 +175,17 @@ class ItemIndex:
         passage = self.words[item]
         reach = len(passage) + DRIFT
         chains: list[list[tuple[int, int]]] = []
+        near: list[list[tuple[int, int]]] = []  # chains that the next window may still follow
         for p, k in places:  # in the document's order
-            for chain in reversed(chains):
+            near = [c for c in near if p - c[-1][0] <= reach]
+            for chain in reversed(near):
                 q, x = chain[-1]
-                if p - q > reach:
-                    break
                 if abs((p - k) - (q - x)) <= DRIFT:
                     chain.append((p, k))
                     break
             else:
-                chains.append([(p, k)])
+                near.append([(p, k)])
+                chains.append(near[-1])
         for chain in chains:
             span = chain[-1][0] - chain[0][0] + WINDOW
             if span < MIN_SPAN:

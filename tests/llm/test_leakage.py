@@ -58,6 +58,15 @@ def test_long_documents_and_repeats():
     assert index.leaks(" ".join([bait + " other"] * 3000 + [items[0][1]])) == [1]
 
 
+def test_copy_far_behind_a_stray_window():
+    rnd = random.Random(5)
+    words = passage(rnd)
+    index = leakage.ItemIndex([(1, " ".join(words))])
+    noise = lambda n: [f"n{rnd.randrange(10**6)}" for _ in range(n)]
+    assert index.leaks(" ".join([*words[20:25], *noise(300), *words])) == [1]
+    assert index.leaks(" ".join([*words[20:25], *noise(300), *words[40:45], *noise(300), *words[3:25]])) == [1]
+
+
 def test_aligned():
     a = [str(i) for i in range(30)]
     assert leakage.aligned(a, a) == (30, 30)
