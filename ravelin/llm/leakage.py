@@ -8,7 +8,7 @@ a slot with another value counts as a changed word, so a question asked again wi
 
 The items are the stated query set: they are broadcast in blocks of at most MAX_ITEM_WORDS words, so a larger set
 takes more passes over the corpus, not more memory. Documents stay where they are read: no shuffle, no pairs of documents.
-A document is aligned only around shared windows, so frequent wording costs a lookup.
+A document is aligned only where shared windows stand as close as any leak has them, so frequent wording costs a lookup.
 """
 
 from __future__ import annotations
@@ -27,15 +27,22 @@ from ravelin.llm.common import spread
 
 #: Words of a window; a stretch of 20 words with two of them changed still has a window that is clean.
 WINDOW = 5
-#: A leak is a stretch of at least MIN_WORDS words of the passage, up to MAX_CHANGED of them changed or left out.
+#: A leak is a stretch of at least MIN_WORDS words of the passage, up to MAX_CHANGED of them changed, added or left out.
 MIN_WORDS, MAX_CHANGED = 20, 0.13
-#: A changed first or last word shortens the stretch that can be seen.
+#: A local alignment ends before a changed word near its ends, so that its stretch is up to SLACK words short; one that is
+#: shorter still, but has the score of a leak, is looked at by ``stretch``.
 SLACK = 2
-#: Shared windows whose slots agree must lie on close diagonals (words added or left out between them) and span so many
-#: words before an alignment is worth its while: three changed words cut 20 into runs that still do.
-DRIFT, MIN_SPAN = 12, 13
+#: Longer leaks hold a leak of at most this length: of two halves of at least MIN_WORDS words one has no more changes.
+LONGEST = 2 * MIN_WORDS - 1
+#: Words that a region of the document reaches beyond its shared windows.
+DRIFT = 12
 #: Alignment scores: a word kept, a word changed, added or left out.
 KEPT, EDIT = 1.0, -2.0
+#: A leak of n words with e changes keeps at least n - 4 - 5 e of its windows (each change takes five at most), and scores at
+#: least n - 3 e; the least of these over all lengths, as (n, e): (24, 3) keeps 5 windows, (20, 2) scores 14.
+_LEAKS = [(n, int(MAX_CHANGED * n)) for n in range(MIN_WORDS, LONGEST + 1)]
+LEAST_WINDOWS = min(n - (WINDOW - 1) - WINDOW * e for n, e in _LEAKS)
+LEAST_SCORE = min((n - e) * KEPT + e * EDIT for n, e in _LEAKS)
 MAX_ITEM_WORDS = 2_000_000
 
 #: Units that follow numbers.
@@ -75,14 +82,23 @@ def template(words: list[str]) -> list[str]:
     return out
 
 
+def _numbered(item: list[str], doc: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    vocabulary: dict[str, int] = {}
+    a = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in item), np.int64, len(item))
+    return a, np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in doc), np.int64, len(doc))
+
+
 def aligned(item: list[str], doc: list[str]) -> tuple[int, int]:
     """(words of the item covered, words kept) of the best local alignment: Smith-Waterman, rows in numpy."""
+    return _aligned(item, doc)[:2]
+
+
+def _aligned(item: list[str], doc: list[str]) -> tuple[int, int, float]:
+    """``aligned``, and the score."""
     n, m = len(item), len(doc)
     if not n or not m:
-        return 0, 0
-    vocabulary: dict[str, int] = {}
-    a = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in item), np.int64, n)
-    b = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in doc), np.int64, m)
+        return 0, 0, 0.0
+    a, b = _numbered(item, doc)
     score = np.zeros((n + 1, m + 1))
     steps = np.arange(m + 1) * EDIT
     for i in range(1, n + 1):
@@ -90,7 +106,7 @@ def aligned(item: list[str], doc: list[str]) -> tuple[int, int]:
         row[1:] = np.maximum(0, np.maximum(score[i - 1, :-1] + np.where(b == a[i - 1], KEPT, EDIT), score[i - 1, 1:] + EDIT))
         score[i] = np.maximum.accumulate(row - steps) + steps  # words added in the document
     i, j = np.unravel_index(int(score.argmax()), score.shape)
-    end, kept = i, 0
+    end, kept, best = i, 0, float(score[i, j])
     while i > 0 and j > 0 and score[i, j] > 0:
         same = a[i - 1] == b[j - 1]
         if abs(score[i, j] - (score[i - 1, j - 1] + (KEPT if same else EDIT))) < 1e-9:
@@ -100,7 +116,30 @@ def aligned(item: list[str], doc: list[str]) -> tuple[int, int]:
             i -= 1
         else:
             j -= 1
-    return int(end - i), kept
+    return int(end - i), kept, best
+
+
+def stretch(item: list[str], doc: list[str]) -> bool:
+    """Whether a stretch of MIN_WORDS to LONGEST words of the item stands in the document with at most MAX_CHANGED edits.
+
+    Edit distances from every start in the item at once, against stretches of the document with free ends.
+    """
+    n, m = len(item), len(doc)
+    if n < MIN_WORDS:
+        return False
+    a, b = _numbered(item, doc)
+    differ = np.ones((n, m + 1), dtype=np.int16)
+    differ[:, 1:] = a[:, None] != b[None, :]
+    place = np.arange(m + 1, dtype=np.int16)
+    row = np.zeros((n, m + 1), dtype=np.int16)  # row s: the item from word s on
+    for length in range(1, min(LONGEST, n) + 1):
+        row = row[: n - length + 1]
+        new = row + 1  # left out
+        np.minimum(new[:, 1:], row[:, :-1] + differ[length - 1 :, 1:], out=new[:, 1:])  # kept or changed
+        row = np.minimum.accumulate(new - place, axis=1) + place  # added
+        if length >= MIN_WORDS and row.min() <= int(MAX_CHANGED * length):
+            return True
+    return False
 
 
 class _Numbers(dict):
@@ -171,32 +210,28 @@ class ItemIndex:
         return sorted(i for i, places in found.items() if self._holds(i, places, low))
 
     def _holds(self, item: int, places: list[tuple[int, int]], words: list[str]) -> bool:
-        """Aligns the item with every region of the document in which its windows follow each other as in the item."""
+        """Aligns the item with every region of the document that holds enough of its windows for a leak."""
         passage = self.words[item]
         reach = len(passage) + DRIFT
-        chains: list[list[tuple[int, int]]] = []
-        near: list[list[tuple[int, int]]] = []  # chains that the next window may still follow
-        for p, k in places:  # in the document's order
-            near = [c for c in near if p - c[-1][0] <= reach]
-            for chain in reversed(near):
-                q, x = chain[-1]
-                if abs((p - k) - (q - x)) <= DRIFT:
-                    chain.append((p, k))
-                    break
+        starts = sorted({p for p, _ in places})
+        longest = LONGEST + int(MAX_CHANGED * LONGEST)  # in the document, words added
+        dense = [(p, q) for p, q in zip(starts, starts[LEAST_WINDOWS - 1 :], strict=False) if q - p <= longest - WINDOW]
+        regions: list[list[int]] = []
+        for p, q in dense:  # a leak around the windows from p to q lies within reach of them
+            lo, hi = max(0, p - reach), min(len(words), q + WINDOW + reach)
+            if regions and lo <= regions[-1][1]:
+                regions[-1][1] = hi
             else:
-                near.append([(p, k)])
-                chains.append(near[-1])
-        for chain in chains:
-            span = chain[-1][0] - chain[0][0] + WINDOW
-            if span < MIN_SPAN:
-                continue
-            # long chains are wording that recurs again and again: they are aligned piece by piece, the pieces overlapping
-            lo, hi = max(0, chain[0][0] - chain[0][1] - DRIFT), min(len(words), chain[-1][0] + reach)
-            for at in range(lo, hi, 3 * reach):
-                covered, kept = aligned(passage, words[at : min(hi, at + 5 * reach)])
-                if covered >= MIN_WORDS - SLACK and covered - kept <= MAX_CHANGED * covered:
-                    return True
-        return False
+                regions.append([lo, hi])
+        # long regions are aligned piece by piece, the pieces overlapping by more than a leak
+        return any(self._leak(passage, words[at : min(hi, at + 5 * reach)]) for lo, hi in regions for at in range(lo, hi, 3 * reach))
+
+    @staticmethod
+    def _leak(passage: list[str], part: list[str]) -> bool:
+        covered, kept, score = _aligned(passage, part)
+        if covered >= MIN_WORDS - SLACK and covered - kept <= MAX_CHANGED * covered:
+            return True
+        return score >= LEAST_SCORE and stretch(passage, part)
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -1,5 +1,6 @@
 """Stretches of passages, copied whole, in part and with changes, against an edit-distance walk."""
 
+import itertools
 import random
 
 from ravelin.llm import leakage
@@ -67,6 +68,20 @@ def test_copy_far_behind_a_stray_window():
     assert index.leaks(" ".join([*words[20:25], *noise(300), *words[40:45], *noise(300), *words[3:25]])) == [1]
 
 
+def test_every_place_of_changed_words():
+    rnd = random.Random(7)
+    words = [f"p{i}" for i in range(60)]
+    index = leakage.ItemIndex([(1, " ".join(words))])
+    noise = [f"n{i}" for i in range(40)]
+    for n in range(20, 27):
+        at = rnd.randrange(60 - n)
+        for gone in itertools.combinations(range(n), 2 if n < 24 else 3):
+            doc = ["other" if i in gone else w for i, w in enumerate(words[at : at + n])]
+            assert index.leaks(" ".join(noise + doc + noise)) == [1], (n, gone)
+    assert index.leaks(" ".join([*noise, *words[9:26], *noise])) == []  # 17 words
+    assert index.leaks(" ".join([*noise, *words[9:14], "other", *words[15:20], "other", *words[21:24], "other", *words[25:29], *noise])) == []
+
+
 def test_aligned():
     a = [str(i) for i in range(30)]
     assert leakage.aligned(a, a) == (30, 30)
