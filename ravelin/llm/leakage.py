@@ -73,13 +73,9 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(t)
 
 
-def template(words: list[str]) -> list[str]:
-    """Words with numbers, units and names as typed placeholders; words are in lower case then."""
-    out = []
-    for w in words:
-        low = w.lower()
-        out.append("#n" if low[0].isdigit() else "#u" if low in UNITS else low)
-    return out
+def template(words: list[str], names: frozenset[str] | set[str] = frozenset()) -> list[str]:
+    """Words (case folded) with numbers, units and names as typed placeholders."""
+    return ["#n" if w[0].isdigit() else "#u" if w in UNITS else "#p" if w in names else w for w in words]
 
 
 def _numbered(item: list[str], doc: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,36 +141,36 @@ def stretch(item: list[str], doc: list[str]) -> bool:
 class _Numbers(dict):
     """Word -> number of its template form, 0 if no item has it. Filled as words come; it only saves time."""
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, vocabulary: dict[str, int], names: set[str]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.names = vocabulary, names
 
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        n = self.vocabulary.get(template([word])[0], 0)
-        if not n and word.istitle():
-            n = self.vocabulary.get("#p", 0)
-        self[word] = n
+        n = self[word] = self.vocabulary.get(template([word.casefold()], self.names)[0], 0)
         return n
 
 
 class ItemIndex:
-    """Hash table of the template windows of the items."""
+    """Hash table of the template windows of the items.
+
+    A word that looks like a name in any item takes a name's slot wherever it stands, in items and documents alike and
+    in any case, so that an equal window always has an equal hash.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.words = {i: [w.lower() for w in words_of(t)] for i, t in items}
+        self.words = {i: [w.casefold() for w in words_of(t)] for i, t in items}
+        names = {w.casefold() for _, t in items for w in _NAME.findall(t)}
         self.vocabulary: dict[str, int] = {}
         at: dict[int, list[tuple[int, int]]] = {}
-        for i, t in items:
-            names = {w.lower() for w in _NAME.findall(t)}
-            slots = ["#p" if w in names else w for w in template(words_of(t))]
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in slots]
+        for i, words in self.words.items():
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in template(words, names)]
             for k, h in enumerate(self.hashes(np.array(ids, dtype=np.int64)).tolist()):
                 at.setdefault(h, []).append((i, k))
         self.at = at
         self.sorted = np.array(sorted(at) or [0], dtype=np.int64)
-        self.numbers = _Numbers(self.vocabulary)
+        self.numbers = _Numbers(self.vocabulary, names)
 
     @staticmethod
     def hashes(ids: np.ndarray) -> np.ndarray:
@@ -201,7 +197,7 @@ class ItemIndex:
         if not len(hits):
             return []
         found: dict[int, list[tuple[int, int]]] = {}
-        low = [w.lower() for w in words]
+        low = [w.casefold() for w in words]
         for p in hits.tolist():
             window = low[p : p + WINDOW]
             for item, k in self.at.get(int(h[p]), ()):

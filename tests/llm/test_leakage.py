@@ -82,6 +82,16 @@ def test_every_place_of_changed_words():
     assert index.leaks(" ".join([*noise, *words[9:14], "other", *words[15:20], "other", *words[21:24], "other", *words[25:29], *noise])) == []
 
 
+def test_names_in_any_case():
+    german = "als der Wärter die Straße zum Hafen sperrte zählte die Pumpe im Keller des Turms noch zwölf Stöße bevor das Wasser den Zaun der Mühle erreichte"
+    english = "in the evening the keeper asked Mark to mark the gate of Rowan Hill before the rowan by the hill lost all of its leaves"
+    index = leakage.ItemIndex([(1, german), (2, english), (3, "we were told that the Keeper and the Gate and the Evening were names of ships")])
+    for i, text in ((1, german), (2, english)):
+        for doc in (text, text.upper(), text.lower(), text.title()):
+            assert index.leaks("x " * 20 + doc) == [i]
+            assert index.leaks("x " * 20 + " ".join(doc.split()[:20])) == [i]
+
+
 def test_aligned():
     a = [str(i) for i in range(30)]
     assert leakage.aligned(a, a) == (30, 30)
