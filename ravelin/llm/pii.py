@@ -3,9 +3,10 @@
 Method: surrogate generation. Each item found becomes a keyed replacement of its own kind: the same person, address or
 number gets the same replacement in every text of a run with the same key (coreference), different ones get different
 ones, and format, script, letter case and the gender of a given name are kept. Replacements come from a keyed hash
-(HMAC-SHA-256), so that they need no shared state and no shuffle; ``surrogate_table`` checks them for collisions over the
-whole corpus and gives those that collide another draw. The default replacement is a typed placeholder such as
-``[NAME_F_3K7Q2M9D]``, which no text can hold by chance and which keeps the text readable.
+(HMAC-SHA-256). Surrogates are checked for collisions over the whole corpus, in every way an item is written, and those
+that collide draw again; ``redacted`` and ``surrogate_table`` use the same draws. The default replacement is a typed
+placeholder such as ``[NAME_F_3K7Q2M9DA5XHZ4TB]``, which no text can hold by chance and which keeps the text readable;
+it needs no shared state and no shuffle, as two of its codes (80 bits) hardly ever are equal.
 
 Detection takes the kinds one after the other, longest evidence first, each on what the former left: email addresses,
 identity numbers (known by the word before them or by their check digit), street addresses, phone numbers (by format, unless the
@@ -22,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ from ravelin.llm.common import spread
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Texts remembered in a task; short texts repeat a lot.
 MEMO, MEMO_LENGTH = 100_000, 400
+#: Draws after the first so many are longer by a digit or syllable each, so that a small space can't run out.
+WIDER_AFTER = 4
 
 #: Given names with the gender they are usual for (n: either).
 GIVEN = {
@@ -238,7 +242,7 @@ def draw(key: bytes, kind: str, what: str, turn: int = 0) -> bytes:
 
 def placeholder(key: bytes, item: Item, text: str) -> str:
     """``[KIND_CODE]``, for names ``[NAME_GENDER_CODE]``."""
-    code = base64.b32encode(draw(key, item.kind, canonical(item.kind, text)))[:10].decode()
+    code = base64.b32encode(draw(key, item.kind, canonical(item.kind, text)))[:16].decode()
     label = {"id_number": "ID", "address": "ADDRESS"}.get(item.kind, item.kind.upper())
     return f"[{label}_{item.gender.upper() or 'N'}_{code}]" if item.kind == "name" else f"[{label}_{code}]"
 
@@ -250,20 +254,43 @@ def _like(sample: str, word: str) -> str:
     return word.upper() if sample.isupper() and len(sample) > 1 else word.capitalize() if sample[:1].isupper() else word
 
 
-def _syllables(bits: int, n: int) -> str:
-    return "".join("bdfgklmnprstvz"[bits >> (7 * i) & 127 and (bits >> (7 * i) & 127) % 14] + "aeiou"[(bits >> (7 * i + 4)) % 5] for i in range(n))
+#: Consonants and vowels of made-up words.
+_LETTERS = {"LATIN": ("bdfgklmnprstvz", "aeiou"), "CYRILLIC": ("бвгдзклмнпрстф", "аеиоу"), "GREEK": ("βγδζθκλμνπρστφ", "αεηιο")}
+
+
+@lru_cache(maxsize=4_096)
+def _pool(c: str) -> tuple[str, str | None]:
+    """(consonants, vowels) of a letter's script, or (its letters, None) where letters are no consonants and vowels."""
+    script = unicodedata.name(c, "LATIN").split()[0]
+    if script in _LETTERS:
+        return _LETTERS[script]
+    row = map(chr, range(ord(c) & ~0xFF, (ord(c) | 0xFF) + 1))
+    letters = "".join(x for x in row if unicodedata.category(x) in ("Lo", "Ll") and unicodedata.name(x, "").startswith(script + " "))
+    return (letters, None) if letters else _LETTERS["LATIN"]
+
+
+def _syllables(bits: int, n: int, like: str = "a") -> str:
+    """A made-up word of n syllables in the script of another."""
+    first, second = _pool(next((c for c in like if c.isalpha()), "a"))
+    if second is None:
+        return "".join(first[(bits >> (7 * i)) % len(first)] for i in range(n))
+    return "".join(first[(bits >> (7 * i) & 127) % len(first)] + second[(bits >> (7 * i + 4)) % len(second)] for i in range(n))
 
 
 def surrogate(key: bytes, item: Item, text: str, turn: int = 0) -> str:
-    """A made-up item of the same kind, format, letter case and gender."""
+    """A made-up item of the same kind, format, script, letter case and gender."""
     bits = int.from_bytes(draw(key, item.kind, canonical(item.kind, text), turn), "big")
+    wider = max(0, turn - WIDER_AFTER + 1)
     if item.kind == "email":
         return _like(text, f"{_syllables(bits, 5)}{bits % 9973}@example.org")
     if item.kind in ("phone", "id_number"):  # separators and letters' places stay; the first digits of a phone number show its country
         keep = 3 if item.kind == "phone" else 0
+        same = [m.span() for m in re.finditer(r"^\D*0+|\(0\)", text)] if keep else []  # ways of writing the same number
         out = []
-        for c in text:
-            if c.isdigit() and keep > 0:
+        for i, c in enumerate(text):
+            if any(a <= i < b for a, b in same):
+                pass
+            elif c.isdigit() and keep > 0:
                 keep -= 1
             elif c.isdigit():
                 bits, d = divmod(bits, 10)
@@ -272,41 +299,41 @@ def surrogate(key: bytes, item: Item, text: str, turn: int = 0) -> str:
                 bits, d = divmod(bits, 26)
                 c = chr(65 + d)
             out.append(c)
-        return "".join(out)
+        return "".join(out) + (str(bits % 10**wider).rjust(wider, "0") if wider else "")
     if item.kind == "address":
         out = []
         for c in re.findall(r"\d+|[^\W\d_]+|\W+|_", text):
             if c.isdigit():
-                bits, d = divmod(bits, 10 ** len(c))
+                bits, d = divmod(bits, 10 ** (len(c) + wider))
                 c = str(d).rjust(len(c), "1")
             elif len(c) > 3 and c[0].isupper() and not re.fullmatch(_EN_WAY + r"|Cottage|Calle|Plaza|Avenida|Rue", c):
                 bits, d = divmod(bits, 1 << 21)
                 tail = re.search(r"(?:straße|strasse|str|weg|allee|platz|gasse)$", c)
-                c = _like(c, _syllables(d, 3)) + (tail.group() if tail else "")
+                c = _like(c, _syllables(d, 3, c)) + (tail.group() if tail else "")
             out.append(c)
         return "".join(out)
-    names = _FIRST[item.gender or "n"]
+    names, initial = _FIRST[item.gender or "n"], chr(65 + (bits >> 240) % 26)
     bits, d = divmod(bits, len(names))
+    bits, made_up = divmod(bits, 1 << 28)
     words, out, given_done = re.findall(r"[^\W\d_][\w’'-]*|\W+", text), [], False
     for w in words:
         low = w.lower()
         if not w[0].isalpha() or low in TITLES or re.fullmatch(PARTICLES, low):
             out.append(w)
-        elif low in GIVEN and not given_done:
-            out.append(_like(w, names[d]))
+        elif low in GIVEN and not given_done:  # the list is short: who collides gets a made-up name with an ending of the gender
+            out.append(_like(w, names[d] if not turn else _syllables(made_up, 3 + wider) + {"f": "na", "m": "rd"}.get(item.gender, "l")))
             given_done = True
-        elif len(w) == 1:
-            bits, x = divmod(bits, 26)
-            out.append(chr(65 + x))
+        elif len(w) == 1:  # left out of what tells a person, so it takes no bits from the other words
+            out.append(initial)
         else:
-            bits, x = divmod(bits, 1 << 28)
-            out.append(_like(w, _syllables(x, 4)))
+            bits, x = divmod(bits, 1 << (28 + 7 * wider))
+            out.append(_like(w, _syllables(x, 4 + wider, w)))
     return "".join(out)
 
 
 class Redactor:
-    def __init__(self, key: bytes, how: str = "placeholder", drawn: dict[tuple[str, str], int] | None = None):
-        self.key, self.how, self.drawn = key, how, drawn or {}
+    def __init__(self, key: bytes, how: str = "placeholder"):
+        self.key, self.how = key, how
         self.memo: dict[str, list[Item]] = {}
 
     def items(self, text: str) -> list[Item]:
@@ -319,11 +346,13 @@ class Redactor:
                 self.memo[text] = hit
         return hit
 
-    def redact(self, text: str) -> str:
+    def redact(self, text: str, drawn: dict[tuple[str, str], int] | None = None) -> str:
+        """``drawn``: the turns of the text's entities; those that aren't there have the first."""
+        drawn = drawn or {}
         out, at = [], 0
         for x in self.items(text):
             part = text[x.start : x.end]
-            new = placeholder(self.key, x, part) if self.how == "placeholder" else surrogate(self.key, x, part, self.drawn.get((x.kind, canonical(x.kind, part)), 0))
+            new = placeholder(self.key, x, part) if self.how == "placeholder" else surrogate(self.key, x, part, drawn.get((x.kind, canonical(x.kind, part)), 0))
             out += [text[at : x.start], new]
             at = x.end
         return "".join([*out, text[at:]])
@@ -352,24 +381,54 @@ def found(tickets: DataFrame, key: str = "seq") -> DataFrame:
 
 
 def redacted(tickets: DataFrame, secret: str, key: str = "seq", how: str = "placeholder") -> DataFrame:
-    """(seq, field, pos, redacted): every non-blank text with its items replaced, unchanged where it has none."""
+    """(seq, field, pos, redacted): every non-blank text with its items replaced, unchanged where it has none.
+
+    Surrogates are those of ``surrogate_table``: a text is joined, by its hash, with the turns of its entities; only
+    entities that didn't keep their first draw take part.
+    """
     if how not in ("placeholder", "surrogate"):
         raise ValueError("how is placeholder or surrogate")
     kind = tickets.schema[key].dataType.simpleString()
+    texts = texts_of(tickets, key).withColumnRenamed(key, "k")
+    if how == "placeholder":
+        texts = texts.withColumn("turns", F.lit(None).cast("array<struct<kind:string,entity:string,turn:int>>"))
+    else:
+        again = _drawn(tickets, secret, key).where("turn > 0").select("kind", "entity", "turn").distinct()
+        texts = texts.withColumn("_h", F.sha2("text", 256))
+        held = texts.select("_h", "text").dropDuplicates(["_h"]).mapInPandas(_entities_of, "h string, kind string, entity string")
+        turns = held.join(again, ["kind", "entity"]).groupBy("h").agg(F.collect_list(F.struct("kind", "entity", "turn")).alias("turns"))
+        texts = texts.join(turns, texts["_h"] == turns["h"], "left").select("k", "field", "pos", "text", "turns")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Redactor(secret.encode(), how)
         for pdf in batches:
-            yield pd.DataFrame({"k": pdf["k"], "field": pdf["field"], "pos": pdf["pos"], "redacted": [r.redact(t) for t in pdf["text"]]})
+            drawn = [None if x is None else {(y["kind"], y["entity"]): y["turn"] for y in x} for x in pdf["turns"]]
+            yield pd.DataFrame({"k": pdf["k"], "field": pdf["field"], "pos": pdf["pos"], "redacted": [r.redact(t, d) for t, d in zip(pdf["text"], drawn, strict=True)]})
 
-    return texts_of(tickets, key).withColumnRenamed(key, "k").mapInPandas(run, f"k {kind}, field string, pos int, redacted string").withColumnRenamed("k", key)
+    return texts.mapInPandas(run, f"k {kind}, field string, pos int, redacted string").withColumnRenamed("k", key)
 
 
-def surrogate_table(tickets: DataFrame, secret: str, key: str = "seq", turns: int = 8) -> DataFrame:
+def _entities_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    r = Redactor(b"")
+    for pdf in batches:
+        rows = [(h, *e) for h, t in zip(pdf["_h"], pdf["text"], strict=True) for e in sorted({(x.kind, canonical(x.kind, t[x.start : x.end])) for x in r.items(t)})]
+        yield pd.DataFrame(rows, columns=["h", "kind", "entity"])
+
+
+def surrogate_table(tickets: DataFrame, secret: str, key: str = "seq", turns: int = 16) -> DataFrame:
     """(kind, entity, surrogate, turn): one row for each entity of the corpus, surrogates distinct within a kind.
 
-    Entities are deduplicated before any drawing; those whose surrogate another entity holds too draw again, all but the
-    first of them, until none collides.
+    The surrogate is that of the first way of writing the entity; others differ in format only.
+    """
+    first = F.min(F.struct("sample", "gender", "surrogate", "turn")).alias("x")
+    return _drawn(tickets, secret, key, turns).groupBy("kind", "entity").agg(first).select("kind", "entity", "x.surrogate", "x.turn")
+
+
+def _drawn(tickets: DataFrame, secret: str, key: str, turns: int = 16) -> DataFrame:
+    """(kind, entity, sample, gender, surrogate, same, turn): one row for each way of writing each entity.
+
+    Ways of writing are deduplicated before any drawing. Entities of which any surrogate is the same, however it is
+    written, as one of another entity draw again, all but the first of them, until none collides.
     """
 
     def entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -382,21 +441,22 @@ def surrogate_table(tickets: DataFrame, secret: str, key: str = "seq", turns: in
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = [surrogate(secret.encode(), Item(0, len(s), k, g), s, turn) for k, s, g in zip(pdf["kind"], pdf["sample"], pdf["gender"], strict=True)]
-                yield pdf.assign(surrogate=out, turn=turn)
+                yield pdf.assign(surrogate=out, same=[canonical(k, s) for k, s in zip(pdf["kind"], out, strict=True)], turn=turn)
 
         return run
 
     schema = "kind string, entity string, sample string, gender string"
-    every = texts_of(tickets, key).select("text").mapInPandas(entities, schema).groupBy("kind", "entity").agg(F.min(F.struct("sample", "gender")).alias("x")).select("kind", "entity", "x.sample", "x.gender")
     from ravelin.session import cut
 
-    todo, done = cut(every), None
+    todo, done = cut(texts_of(tickets, key).select("text").mapInPandas(entities, schema).distinct()), None
     for turn in range(turns):
-        now = todo.mapInPandas(drawn(turn), schema + ", surrogate string, turn int")
+        now = todo.mapInPandas(drawn(turn), schema + ", surrogate string, same string, turn int")
         both = now if done is None else done.unionByName(now)
-        first = both.groupBy("kind", F.lower("surrogate").alias("_s")).agg(F.min(F.struct("turn", "entity")).alias("_f"))
-        marked = cut(both.join(first, (both["kind"] == first["kind"]) & (F.lower(both["surrogate"]) == first["_s"])).select(both["*"], (F.col("_f.entity") == both["entity"]).alias("_ok")))
-        done, todo = marked.where("_ok").drop("_ok"), marked.where("NOT _ok").select("kind", "entity", "sample", "gender")
+        first = both.groupBy("kind", "same").agg(F.min(F.struct("turn", "entity")).alias("_f"))
+        marked = both.join(first, ["kind", "same"]).withColumn("_bad", F.col("_f.entity") != F.col("entity"))
+        bad = marked.groupBy("kind", "entity").agg(F.max("_bad").alias("_again"))
+        marked = cut(both.join(bad, ["kind", "entity"]))
+        done, todo = marked.where("NOT _again").drop("_again"), marked.where("_again").select("kind", "entity", "sample", "gender")
         if todo.isEmpty():
-            return done.select("kind", "entity", "surrogate", "turn")
+            return done
     raise RuntimeError("surrogates still collide")

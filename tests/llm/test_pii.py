@@ -58,3 +58,27 @@ def test_colliding_surrogates_draw_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, item, text, turn=0: "same@example.org" if turn == 0 else real(key, item, text, turn))
     table = pii.surrogate_table(df, "k").collect()
     assert len(table) == 12 == len({r["surrogate"] for r in table})
+
+
+def test_surrogates_in_texts_are_those_of_the_table(spark):
+    people = [g.capitalize() for g, x in pii.GIVEN.items() if x == "f" and g not in ("maëlle", "zoë")]
+    bodies = [f"Regards, {g}" for g in people] + [f"Thanks, {people[0]}", "Regards, Petra K. Orrowick", "Llame a ORROWICK, PETRA hoy", "tel +44 7700 900 121", "tel 0044 7700 900121"]
+    df = spark.createDataFrame([(i, b, None, None) for i, b in enumerate(bodies)], "seq long, body string, comments array<struct<author:string,text:string>>, resolution string")
+    table = {r["entity"]: r["surrogate"].lower() for r in pii.surrogate_table(df, "k").where("kind = 'name'").collect()}
+    rows = pii.redacted(df, "k", how="surrogate").orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(len(bodies)))
+    out = [r["redacted"] for r in rows]
+    n = len(people)
+    lone = [t.removeprefix("Regards, ").lower() for t in out[:n]]
+    assert lone == [table[g.lower()] for g in people] and len(set(lone)) == n  # more women than the first draw has names left
+    assert out[n].lower() == f"thanks, {lone[0]}"
+    assert pii.canonical("name", out[n + 1].removeprefix("Regards, ")) == pii.canonical("name", out[n + 2].removeprefix("Llame a ").removesuffix(" hoy"))
+    assert pii.canonical("phone", out[n + 3].removeprefix("tel ")) == pii.canonical("phone", out[n + 4].removeprefix("tel "))
+
+
+def test_surrogates_keep_the_script_and_small_spaces_widen():
+    for name, script in (("Иван Петров", "CYRILLIC"), ("Νίκος Παππάς", "GREEK"), ("田中", "CJK"), ("Petra Orrowick", "LATIN")):
+        out = pii.surrogate(b"k", pii.Item(0, len(name), "name"), name, 1)
+        assert out != name and all(script in pii.unicodedata.name(c) for c in out if c.isalpha())
+    item = pii.Item(0, 2, "id_number")
+    assert len({pii.surrogate(b"k", item, "12", t) for t in range(16)}) > 12
