@@ -31,8 +31,10 @@ WRITTEN_IN = ("cp932", "euc_jp", "koi8-r", "cp1251", "cp866", "cp1250", "cp1252"
 #: Cost of a step (valid UTF-8 sequences hardly arise by chance, other code pages fit anything), least gain for a text to
 #: count as garbled, and bounds of one search.
 UTF8_COST, PAGE_COST, LEAST_GAIN, MAX_STEPS, MAX_STATES = 1.0, 4.0, 2.0, 4, 200
-#: Longer pieces are searched in parts of this length; the parts are joined again, nothing is cut off.
-PIECE = 1_000
+#: In longer pieces paths are looked for in parts of this length, which overlap so that no character's bytes are cut in
+#: all of them, and which may begin or end so many characters later or earlier, inside of no character. A path is then
+#: applied to the whole piece, or as far as it goes.
+PIECE, OVERLAP, CUTS = 1_000, 100, 3
 #: States dearer than the best one by more than this are not followed; a wrong turn costs that much in a word or two.
 SLACK = 12.0
 MEMO = 200_000
@@ -217,6 +219,57 @@ def follow(text: str, path: tuple[str, ...]) -> str:
     return out if plausibility(out) < plausibility(text) else text
 
 
+def _applied(text: str, path: tuple[str, ...]) -> str | None:
+    out: str | None = text
+    for name in path:
+        out = _BY_NAME[name](out)
+        if out is None:
+            return None
+    return out
+
+
+def _widest(text: str, lo: int, hi: int, path: tuple[str, ...], whole: bool) -> tuple[float, int, int, str] | None:
+    """(gain, begin, end, what replaces it) of the widest stretch around a part that the path makes likelier."""
+    page = PAGES.get(path[0].split(">")[0])
+    first, last = lo, hi  # the run of characters that the code page has
+    while page and first > 0 and text[first - 1] in page:
+        first -= 1
+    while page and last < len(text) and text[last] in page:
+        last += 1
+    tries = [(0, len(text))] if whole else []
+    tries += [(a, b) for a in (*range(first, min(first + CUTS, lo)), lo) for b in (*range(last, max(last - CUTS, hi), -1), hi)]
+    for a, b in tries:
+        out = _applied(text[a:b], path)
+        if out is not None and (gain := plausibility(text[a:b]) - plausibility(out)) >= LEAST_GAIN:
+            return gain, a, b, out
+    return None
+
+
+def search_long(text: str) -> tuple[str, tuple[str, ...]]:
+    """``search`` for texts of any length: paths are found on parts, and applied to all of the text that they fit."""
+    at, used = 0, {}
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        part = text[at:end]
+        best = None
+        if not part.isascii() or "&" in part or "\\" in part:
+            cut_before, cut_behind = at and not text[at : at + CUTS].isascii(), end < len(text) and not text[end - CUTS : end].isascii()
+            for late in range(CUTS if cut_before else 1):
+                paths = {search(text[at + late : end - early])[1] for early in range(CUTS if cut_behind else 1)} - {()}
+                tried = [(x, path) for path in sorted(paths) for x in (_widest(text, at + late, end, path, path not in used) or _widest(text, at + late, end - CUTS, path, False),) if x]
+                if tried:
+                    best = max(tried, key=lambda x: x[0][0])
+                    break
+        if best is None:
+            at += PIECE - OVERLAP if end < len(text) else PIECE
+            continue
+        (_, a, b, out), path = best
+        used[path] = used.get(path, 0) + b - a
+        text = text[:a] + out + text[b:]  # and the same part again, until nothing makes it likelier
+        at = min(at, len(text))
+    return text, max(used, key=used.get, default=())
+
+
 _LOST = re.compile(r"[^\W\d_]\?\?+[^\W\d_]|^[\"(]*\?\?+[^\W\d_]|^[^\W\d_]+\?[^\W\d_]+$")
 _DAMAGE = re.compile("[\ufffd\x80-\x9f]|[^\\W_][─-▟]|[─-▟][^\\W_]")
 
@@ -230,11 +283,7 @@ class Restorer:
     def piece(self, p: str) -> tuple[str, tuple[str, ...]]:
         hit = self.memo.get(p)
         if hit is None:
-            if len(p) > PIECE:
-                parts = [search(p[i : i + PIECE]) for i in range(0, len(p), PIECE)]
-                hit = "".join(x for x, _ in parts), next((path for _, path in parts if path), ())
-            else:
-                hit = search(p)
+            hit = search_long(p) if len(p) > PIECE else search(p)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             if len(p) <= 200:

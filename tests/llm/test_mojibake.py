@@ -42,6 +42,27 @@ def test_twice_in_part_and_lost():
     assert r.text("Ger??t meldet ung??ltige")[1:] == (True, False)
 
 
+JAPANESE = "夜間処理の停止が確認されました。ﾃｽﾄ環境では装置番号12の再起動後に復旧したため、記録を添付します。"
+LONG = [(JAPANESE, "utf-8", "cp1252"), (JAPANESE, "utf-8", "latin-1"), (JAPANESE.replace("ﾃｽﾄ", "A"), "cp932", "cp1252"), (JAPANESE.replace("ﾃｽﾄ", "A"), "euc_jp", "latin-1"), ("проверкасвязи,отказ;", "koi8-r", "cp1251"), ('{"größe":"für","süd":1},', "utf-8", "cp437")]
+
+
+@pytest.mark.parametrize(("unit", "wrote", "read"), LONG)
+@pytest.mark.parametrize("shift", [0, 1, 2])
+def test_long_unspaced_text_comes_back(unit, wrote, read, shift):
+    text = "x" * shift + (unit * (5_000 // len(unit) + 1))[:5_000]
+    assert mj.Restorer().text(garbled(text, wrote, read)) == (text, True, True)
+
+
+def test_long_pieces_in_part():
+    one = garbled("ü", "utf-8", "cp1252")
+    for n in (997, 998, 999, 1000, 1899):
+        assert mj.search_long("a" * n + one * 3 + "b" * 3000)[0] == "a" * n + "üüü" + "b" * 3000
+    mixed = '{"größe":"für"},' * 100 + garbled('{"größe":"für"},' * 100, "utf-8", "cp1252") + garbled('{"größe":"für"},' * 100, "utf-8", "cp437")
+    assert mj.search_long(mixed)[0] == '{"größe":"für"},' * 300
+    right = (JAPANESE * 100)[:5_000]
+    assert mj.Restorer().text(right) == (right, False, True)
+
+
 def test_rows(spark):
     bad = garbled("Gerät für Köln", "utf-8", "cp1252")
     rows = [(1, bad, "fine"), (2, None, None), (3, "", bad), (None, bad, bad), (1, bad, "fine"), (4, "été " * 20_000, (bad + " ") * 5_000)]
