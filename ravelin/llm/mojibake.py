@@ -308,14 +308,19 @@ class Restorer:
                 strong = lost = True
             if p.isascii() and "&" not in p and "\\" not in p:
                 continue
-            out, path = self.piece(p)
+            if p.isascii():  # escapes alone are a way of writing, not damage; what they stand for may be garbled
+                u = _unescaped(p)
+                out, path = self.piece(u) if u and u != p else (p, ())
+                if all(step == "unescape" for step in path):
+                    plain.append(i)
+                    continue
+                path = ("unescape", *path)
+            else:
+                out, path = self.piece(p)
             damaged = bool(_DAMAGE.search(out))
             if path or damaged:
                 core = out.strip(".,;:!?()[]\"'")
                 alone = len(core) == 1 and (core in "’‘“”\ufffd" or core.isalpha())
-                if p.isascii():
-                    plain.append(i)  # escapes alone are a way of writing, not damage
-                    continue
                 strong |= not alone
                 lost |= damaged
                 if path:

@@ -53,6 +53,16 @@ def test_long_unspaced_text_comes_back(unit, wrote, read, shift):
     assert mj.Restorer().text(garbled(text, wrote, read)) == (text, True, True)
 
 
+@pytest.mark.parametrize("text", ["Ger&Atilde;&curren;t f&Atilde;&frac14;r K&Atilde;&para;ln", r"Ger\u00c3\u00a4t f\u00c3\u00bcr K\u00c3\u00b6ln"])
+def test_escaped_after_it_was_garbled(text):
+    assert mj.Restorer().text(text) == ("Gerät für Köln", True, True)
+
+
+@pytest.mark.parametrize("text", ["Ger&auml;t f&uuml;r K&ouml;ln", r"Ger\u00e4t f\u00fcr", "a &amp; b &lt;c&gt; d&nbsp;e", "Write &Atilde;&frac14; for it", "AT&T; R&D"])
+def test_escapes_alone_are_left(text):
+    assert mj.Restorer().text(text) == (text, False, True)
+
+
 def test_long_pieces_in_part():
     one = garbled("ü", "utf-8", "cp1252")
     for n in (997, 998, 999, 1000, 1899):
