@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ from ravelin.session import spread
 MAX_EDGES = 20_000
 #: A child whose keys are this much like its parent's is the same element under another name.
 ALIKE = 0.5
-#: Levels of nesting followed; deeper values are kept as JSON text of the column that holds them.
+#: Levels of nesting that column names tell; values at any depth are followed, deeper ones named as if at this level.
 MAX_DEPTH = 400
 ROOT = ""
 
@@ -94,13 +95,69 @@ def pattern(key: str) -> str:
 
 
 def loads(text: object) -> object:
-    """The JSON value, or None for anything that isn't JSON (too deep a value counts as such)."""
+    """The JSON value, or None for anything that isn't JSON."""
     try:
         return json.loads(text)
-    except (ValueError, TypeError, RecursionError):
+    except RecursionError:
+        try:
+            return _loads_deep(text)
+        except (ValueError, IndexError, StopIteration):
+            return None
+    except (ValueError, TypeError):
         return None
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _loads_deep(s: str) -> object:
+    """``json.loads`` without recursion."""
+    scalar = json.JSONDecoder().scan_once
+    skip = lambda i: _SPACE.match(s, i).end()
+    held: list[list] = []  # open containers with the key that the next value gets
+
+    def key_at(i: int) -> int:
+        if s[i] != '"':
+            raise ValueError("no key")
+        held[-1][1], i = scanstring(s, i + 1)
+        i = skip(i)
+        if s[i] != ":":
+            raise ValueError("no colon")
+        return skip(i + 1)
+
+    i = skip(0)
+    while True:
+        if s[i] in "{[":
+            v, end = ({}, "}") if s[i] == "{" else ([], "]")
+            i = skip(i + 1)
+            if s[i] != end:
+                held.append([v, None])
+                i = key_at(i) if end == "}" else i
+                continue
+            i += 1
+        else:
+            v, i = scalar(s, i)
+        while True:  # v is whole
+            i = skip(i)
+            if not held:
+                if i != len(s):
+                    raise ValueError("more than one value")
+                return v
+            inside, key = held[-1]
+            if isinstance(inside, dict):
+                inside[key] = v
+            else:
+                inside.append(v)
+            if s[i] == ",":
+                i = skip(i + 1)
+                i = key_at(i) if isinstance(inside, dict) else i
+                break
+            if s[i] != ("}" if isinstance(inside, dict) else "]"):
+                raise ValueError("not closed")
+            v = held.pop()[0]
+            i += 1
+
+
 def opened(v: object) -> object:
     """A value given as JSON text is taken as the value itself."""
     if isinstance(v, str) and (s := v.strip())[:1] in ("[", "{") and isinstance(w := loads(s), (list, dict)):
@@ -137,9 +194,9 @@ def items(v: object) -> list:
 
 
 def _edges_of(record: dict, edges: dict) -> None:
-    todo = [(ROOT, nest_dotted(record), 0)]
+    todo = [(ROOT, nest_dotted(record))]
     while todo:
-        element, obj, depth = todo.pop()
+        element, obj = todo.pop()
         for k, v in obj.items():
             parts = items(v)
             inner = [x for x in parts if isinstance(x, dict)]
@@ -147,8 +204,7 @@ def _edges_of(record: dict, edges: dict) -> None:
             e[0] += len(inner)
             e[1] = max(e[1], len(inner))
             e[2] += sum(not isinstance(x, dict) and x is not None for x in parts)
-            if depth < MAX_DEPTH:
-                todo += [(pattern(k), x, depth + 1) for x in inner]
+            todo += [(pattern(k), x) for x in inner]
 
 
 def json_graph(df: DataFrame, doc: str) -> SchemaGraph:
@@ -217,44 +273,53 @@ class Shredder:
         e = self.graph.element(key)
         return e if e in self.graph.tables and e not in self.singletons else None
 
-    def columns(self, obj: dict, prefix: str = "", depth: int = 0) -> dict[str, str]:
+    def columns(self, obj: dict) -> dict[str, str]:
         out: dict[str, str] = {}
-        for k, v in obj.items():
-            if self.table(k) is not None:
+        # todo holds objects to read (object, prefix, depth) and columns to set (None, column, depth, text, first)
+        todo: list[tuple] = [(obj, "", 0)]
+        while todo:
+            x, name, depth, *rest = todo.pop()
+            if x is None:
+                t, first = rest
+                if depth or not first:
+                    if (t.strip() or not depth) and not out.get(name, "").strip():
+                        out[name] = t
+                else:
+                    out.setdefault(name, t)
                 continue
-            parts = items(v)
-            for x in parts:
-                if isinstance(x, dict):
-                    if depth < MAX_DEPTH:
-                        for c, t in self.columns(x, f"{prefix}{k}.", depth + 1).items():
-                            if t.strip() and not out.get(c, "").strip():
-                                out[c] = t
-                elif k in self.singletons and x is not None:
-                    c = f"{prefix}{k}.{self.singletons[k]}"
-                    if not out.get(c, "").strip():
-                        out[c] = text_of(x)
-            plain = [x for x in parts if not isinstance(x, dict)]
-            if k not in self.singletons and (t := text_of(plain)) is not None:
-                out.setdefault(f"{prefix}{k}", t)
+            steps: list[tuple] = []
+            for k, v in x.items():
+                if self.table(k) is not None:
+                    continue
+                parts = items(v)
+                for y in parts:
+                    if isinstance(y, dict):
+                        steps.append((y, f"{name}{k}." if depth < MAX_DEPTH else name, depth + 1))
+                    elif k in self.singletons and y is not None:
+                        steps.append((None, f"{name}{k}.{self.singletons[k]}", depth, text_of(y), False))
+                plain = [y for y in parts if not isinstance(y, dict)]
+                if k not in self.singletons and (t := text_of(plain)) is not None:
+                    steps.append((None, f"{name}{k}", depth, t, True))
+            todo.extend(reversed(steps))
         return out
 
     def shred(self, record: dict) -> list[tuple[str, int, int, dict[str, str]]]:
         record = nest_dotted(record)
         rows = [(ROOT, 0, 0, self.columns(record))]
         count: dict[str, int] = {}
-        # todo holds (value, table, parent number in the table, depth), the next one to write last
-        todo: list[tuple[object, str, int, int]] = []
+        # todo holds (value, table, parent number in the table, parents), the next one to write last
+        todo: list[tuple[object, str | None, int, dict[str, int]]] = []
 
-        def push(obj: dict, parents: dict[str, int], depth: int) -> None:
-            held = [(x, t, parents.get(t, 0), depth) for k, v in obj.items() if (t := self.table(k)) for x in items(v)]
-            held += [(x, None, 0, depth) for k, v in obj.items() if self.table(k) is None for x in items(v) if isinstance(x, dict) and depth < MAX_DEPTH]
+        def push(obj: dict, parents: dict[str, int]) -> None:
+            held = [(x, t, parents.get(t, 0)) for k, v in obj.items() if (t := self.table(k)) for x in items(v)]
+            held += [(x, None, 0) for k, v in obj.items() if self.table(k) is None for x in items(v) if isinstance(x, dict)]
             todo.extend(reversed([(*h, parents) for h in held]))
 
-        push(record, {}, 0)
+        push(record, {})
         while todo:
-            x, table, parent, depth, parents = todo.pop()
+            x, table, parent, parents = todo.pop()
             if table is None:
-                push(x, parents, depth + 1)
+                push(x, parents)
                 continue
             cols = {}
             if isinstance(x, dict):
@@ -266,8 +331,8 @@ class Shredder:
                 count[table] = node = count.get(table, 0) + 1
                 rows.append((table, node, parent, cols))
                 parents = {**parents, table: node}
-            if isinstance(x, dict) and depth < MAX_DEPTH * 10:
-                push(x, parents, depth + 1)
+            if isinstance(x, dict):
+                push(x, parents)
         return rows
 
 

@@ -115,3 +115,25 @@ def test_very_deep_and_long_values(spark):
     got = nested.comment_rows(spark.createDataFrame([], TICKETS), raw).collect()
     assert sorted(r["node"] for r in got if r["row_no"] == 2) == list(range(1, 302))
     assert all(r["parent"] == r["node"] - 1 for r in got if r["row_no"] == 2)
+
+
+def test_any_depth():
+    wrapped = '{"w":' * 3_000 + '{"comments":[{"author":"a","text":"deep"}]}' + "}" * 3_000
+    replies = '{"text":"r","comments":[' * 50_000 + '{"text":"last"}' + "]}" * 50_000
+    doc = '{"comments":[' + replies + '],"x":' + wrapped + "}"
+    record = nested.loads(doc)
+    edges: dict = {}
+    nested._edges_of(record, edges)
+    graph = nested.SchemaGraph({e: tuple(x) for e, x in edges.items()})
+    rows = [r for r in nested.Shredder(graph, {}, {}, {"comments": ("author", "text")}).shred(record) if r[0] == graph.element("comments")]
+    assert len(rows) == 50_002 and [r[2] for r in rows[:50_001]] == list(range(50_001)) and rows[-1][2] == 0
+    for text in ('{"a":[1,{"b":"x\\n"},[],{}, null ,-1.5e3,true]} ', "[1,2", '{"a" 1}', "[1] 2", '{"a":1,}', "[1,]", ""):
+        try:
+            want = json.loads(text)
+        except ValueError:
+            want = None
+        try:
+            got = nested._loads_deep(text)
+        except (ValueError, IndexError, StopIteration):
+            got = None
+        assert got == want
