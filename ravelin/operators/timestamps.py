@@ -6,22 +6,27 @@ intervals with one offset; in local time neighbouring intervals overlap (clocks
 offset directly. The intervals are exploded to (zone, year) so that the join is an equi-join with a short
 list to search; their number is bounded by zones x years, so the broadcast doesn't grow with the data.
 
-Everything runs JVM-side: one pass of built-in expressions for each value and two broadcast joins, no shuffle.
+Everything runs JVM-side: one chain of built-in expressions for each value and two broadcast joins, no shuffle.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
-from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+from datetime import date, datetime, timedelta, timezone
+from functools import lru_cache
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError, available_timezones
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Years covered by the zone intervals; a local time outside of them gets no offset from a zone.
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years covered by the zone intervals. No zone changed before them, and later years follow the rules of the last one:
+#: a year that begins on the same day of the week and is as long stands in for each of them.
+FIRST_YEAR, LAST_YEAR = 1830, 2100
 #: Length of a bucket of the exploded intervals, in seconds (a mean Gregorian year).
 BUCKET_S = 31_556_952
+FIRST_BUCKET = int(datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp()) // BUCKET_S
+#: Local seconds before any interval.
+FOREVER = 1 << 60
 #: IANA has about 600 zone names; a table of sources with more zones than this is refused.
 MAX_ZONES = 2_000
 MAX_SOURCES = 100_000
@@ -57,52 +62,59 @@ _FORMS = (
 )
 
 
+@lru_cache(maxsize=MAX_ZONES)
+def _spans(name: str, first: int, last: int) -> tuple[tuple[int, int, int, str], ...]:
+    """(begin, end, offset, abbreviation) of a zone's intervals in UTC seconds, none for an unknown name."""
+    try:
+        zone = ZoneInfo(name)
+    except (ZoneInfoNotFoundError, ValueError, OSError):
+        return ()
+    zero = datetime(1970, 1, 1, tzinfo=zone)
+
+    def at(s: int) -> tuple[timedelta, str]:
+        d = zone.fromutc(zero + timedelta(seconds=s))
+        return d.utcoffset(), d.tzname() or ""
+
+    begun = int(datetime(first, 1, 1, tzinfo=timezone.utc).timestamp())
+    final, step = int(datetime(last + 1, 1, 1, tzinfo=timezone.utc).timestamp()), 14 * 86_400
+    spans, state, t = [], at(begun), begun
+    while t < final:
+        nxt = min(t + step, final)
+        if at(nxt) == state:
+            t = nxt
+            continue
+        a, b = t, nxt
+        while b - a > 1:
+            mid = (a + b) // 2
+            a, b = (mid, b) if at(mid) == state else (a, mid)
+        spans.append((begun, b, int(state[0].total_seconds()), state[1]))
+        begun, state, t = b, at(b), b
+    return (*spans, (begun, final, int(state[0].total_seconds()), state[1]))
+
+
 def zone_intervals(zones: list[str], first: int = FIRST_YEAR, last: int = LAST_YEAR) -> list[tuple]:
     """(tz, bucket, [(lo, hi, off, abbr)]): the offset intervals of each zone in local seconds, exploded to years.
 
-    An unknown zone name gives no interval, so its local times get no instant.
+    Zone names come out in capitals. The first interval of a zone has no beginning. An unknown zone name gives no
+    interval, so its local times get no instant.
     """
     out: dict[tuple[str, int], list[tuple]] = {}
-    start, end = datetime(first, 1, 1, tzinfo=timezone.utc), datetime(last + 1, 1, 1, tzinfo=timezone.utc)
     for name in sorted(set(zones)):
-        try:
-            zone = ZoneInfo(name)
-        except (ZoneInfoNotFoundError, ValueError, OSError):
-            continue
-
-        def at(s: int, zone: ZoneInfo = zone) -> tuple[int, str]:
-            d = datetime.fromtimestamp(s, timezone.utc).astimezone(zone)
-            return int(d.utcoffset().total_seconds()), d.tzname() or ""
-
-        lo, final, step = int(start.timestamp()), int(end.timestamp()), int(timedelta(days=7).total_seconds())
-        begun, state, t = lo, at(lo), lo
-        spans = []
-        while t < final:
-            nxt = min(t + step, final)
-            if at(nxt) != state:
-                a, b = t, nxt
-                while b - a > 1:
-                    mid = (a + b) // 2
-                    a, b = (mid, b) if at(mid) == state else (a, mid)
-                spans.append((begun, b, *state))
-                begun, state, t = b, at(b), b
-            else:
-                t = nxt
-        spans.append((begun, final, *state))
-        for u, v, off, abbr in spans:
-            for bucket in range((u + off) // BUCKET_S, (v + off - 1) // BUCKET_S + 1):
-                out.setdefault((name, bucket), []).append((u + off, v + off, off, abbr))
+        for i, (u, v, off, abbr) in enumerate(_spans(name, first, last)):
+            begin = u + off if i else -FOREVER
+            for bucket in range(max(FIRST_BUCKET, begin // BUCKET_S), (v + off - 1) // BUCKET_S + 1):
+                out.setdefault((name.upper(), bucket), []).append((begin, v + off, off, abbr))
     return [(tz, bucket, spans) for (tz, bucket), spans in out.items()]
 
 
-_INTERVALS = T.StructType([
-    T.StructField("zi_tz", T.StringType()),
-    T.StructField("zi_bucket", T.LongType()),
-    T.StructField("zi_spans", T.ArrayType(T.StructType([
-        T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()),
-        T.StructField("off", T.LongType()), T.StructField("abbr", T.StringType()),
-    ]))),
-])
+_SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("off", pa.int64()), ("abbr", pa.string())]))
+_INTERVALS = "zi_tz string, zi_bucket bigint, zi_spans array<struct<lo:bigint,hi:bigint,off:bigint,abbr:string>>"
+
+
+def _interval_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    tz, bucket, spans = zip(*rows, strict=True)
+    lists = pa.array([[dict(zip(("lo", "hi", "off", "abbr"), x, strict=True)) for x in own] for own in spans], _SPANS)
+    return spark.createDataFrame(pa.table({"zi_tz": pa.array(tz), "zi_bucket": pa.array(bucket, pa.int64()), "zi_spans": lists}), _INTERVALS)
 
 
 def _abbreviations(rows: list[tuple]) -> list[tuple[str, dict[str, int]]]:
@@ -120,17 +132,23 @@ class ZoneTable:
     """Zones of the sources: src -> tz, order of numeric dates, offsets of abbreviations; and the exploded intervals.
 
     ``sources`` has the columns src, tz, date_order. It is read to the driver only for its distinct zone names,
-    of which there are at most MAX_ZONES. Of repeated ``src`` the smallest (tz, date_order) counts.
+    of which there are at most MAX_ZONES. Of repeated ``src`` the smallest (tz, date_order) counts. ``values`` is a
+    column of raw values (as a DataFrame), whose bracketed IANA names, such as ``[Europe/Berlin]``, are added.
     """
 
-    def __init__(self, spark: SparkSession, sources: DataFrame):
-        found = [r[0] for r in sources.select(F.trim("tz")).where(F.col("tz").isNotNull()).distinct().limit(MAX_ZONES + 1).collect()]
+    def __init__(self, spark: SparkSession, sources: DataFrame, values: DataFrame | None = None):
+        names = sources.select(F.trim("tz").alias("tz")).where(F.col("tz").isNotNull())
+        if values is not None:
+            raw = F.col(f"`{values.columns[0]}`")
+            named = values.where(raw.contains("[")).select(F.regexp_extract(raw, r"\[([^\]]+)\]", 1).alias("tz"))
+            names = names.unionByName(named.where(F.array_contains(F.split(F.lit(" ".join(sorted(available_timezones()))), " "), F.col("tz"))))
+        found = [r[0] for r in names.distinct().limit(MAX_ZONES + 1).collect()]
         if len(found) > MAX_ZONES:
-            raise ValueError(f"more than {MAX_ZONES} zones in sources")
+            raise ValueError(f"more than {MAX_ZONES} zones")
         rows = zone_intervals([*found, "UTC"])
-        self.intervals = spark.createDataFrame(rows, _INTERVALS)
+        self.intervals = F.broadcast(_interval_table(spark, rows))
         abbr = _abbreviations(rows)
-        named = sources.groupBy("src").agg(F.min(F.struct(F.trim("tz").alias("tz"), F.upper(F.trim("date_order")).alias("o"))).alias("z"))
+        named = sources.groupBy("src").agg(F.min(F.struct(F.upper(F.trim("tz")).alias("tz"), F.upper(F.trim("date_order")).alias("o"))).alias("z"))
         named = named.select(F.col("src").alias("zs_src"), F.col("z.tz").alias("zs_tz"), F.col("z.o").alias("zs_order"))
         few = named.limit(MAX_SOURCES + 1).collect()
         if len(few) <= MAX_SOURCES:  # as a rule: a local table makes the plan of each use short
@@ -142,13 +160,53 @@ class ZoneTable:
             self.sources = named.join(F.broadcast(zones), "zs_tz", "left")
 
 
-def _month(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    return F.when(name.rlike(r"^\d+$"), name.try_cast("int")).otherwise(F.element_at(table, name))
-
-
-def _int(c: Column) -> Column:
-    return F.when(c != "", c.try_cast("int"))
+def _years_alike() -> str:
+    """Day number of 1 January of a year before LAST_YEAR for each (weekday of 1 January, leap year or not), as SQL."""
+    out = [0] * 14
+    for year in range(LAST_YEAR - 28, LAST_YEAR):
+        first = date(year, 1, 1)
+        out[2 * first.weekday() + ((date(year + 1, 1, 1) - first).days - 365)] = (first - date(1970, 1, 1)).days
+    return f"array({', '.join(map(str, out))})"
+
+
+def _chain() -> list[dict[str, str]]:
+    """The steps from a value (``_ts_v``, trimmed and in capitals) to its local time, as SQL; each step sees the former ones."""
+    forms = "\n".join(f"WHEN _ts_v RLIKE r'{p}' THEN concat({'coalesce(zs_order, {})'.format(repr('DMY')) if o == '?' else repr(o)}, regexp_replace(_ts_v, r'{p}', '|$1|$2|$3|$4|$5|$6|$7|$8|$9'))" for p, o in _FORMS)
+    months = f"str_to_map('{','.join(f'{k}:{v}' for k, v in MONTHS.items())}')"
+    first = "make_date(_ts_y, 1, 1)"
+    later = f"unix_date({first}) - element_at({_years_alike()}, 2 * weekday({first}) + datediff(make_date(_ts_y + 1, 1, 1), {first}) - 364)"
+    return [
+        {"_ts_n": r"regexp_extract(_ts_v, r'^(\d+)(?:\.\d+)?$', 1)", "_ts_p": rf"split(CASE {forms} END, r'\|', -1)"},
+        # a four-digit last part is the year, whatever the source's order is
+        {"_ts_o": "CASE WHEN _ts_p[0] = 'YMD' AND length(_ts_p[1]) <= 2 AND length(_ts_p[3]) = 4 THEN 'DMY' ELSE _ts_p[0] END",
+         "_ts_zone": "regexp_replace(replace(_ts_p[8], '−', '-'), '^(?:UTC|GMT)(?=[+-])', '')", "_ts_half": "replace(_ts_p[7], '.', '')", "_ts_h": "try_cast(_ts_p[4] AS INT)", "_ts_mi": "try_cast(_ts_p[5] AS INT)", "_ts_s": "coalesce(try_cast(_ts_p[6] AS INT), 0)"},
+        {"_ts_ys": "CASE WHEN _ts_o = 'YMD' THEN _ts_p[1] ELSE _ts_p[3] END", "_ts_ms": "CASE WHEN _ts_o = 'MDY' THEN _ts_p[1] ELSE _ts_p[2] END", "_ts_ds": "CASE _ts_o WHEN 'YMD' THEN _ts_p[3] WHEN 'MDY' THEN _ts_p[2] ELSE _ts_p[1] END", "_ts_digits": "translate(_ts_zone, '+-:', '')"},
+        {"_ts_y": "try_cast(_ts_ys AS INT) + CASE WHEN length(_ts_ys) > 2 THEN 0 WHEN try_cast(_ts_ys AS INT) < 70 THEN 2000 ELSE 1900 END",
+         "_ts_m": rf"CASE WHEN _ts_ms RLIKE r'^\d+$' THEN _ts_ms ELSE element_at({months}, _ts_ms) END", "_ts_d4": "CASE WHEN length(_ts_digits) <= 2 THEN lpad(_ts_digits, 2, '0') || '00' ELSE lpad(_ts_digits, 4, '0') END",
+         "_ts_hour": "CASE WHEN _ts_half = '' THEN _ts_h WHEN _ts_h BETWEEN 1 AND 12 THEN _ts_h % 12 + CASE _ts_half WHEN 'PM' THEN 12 ELSE 0 END END"},
+        {"_ts_day": "unix_date(try_cast(concat_ws('-', lpad(_ts_y, 4, '0'), lpad(_ts_m, 2, '0'), lpad(_ts_ds, 2, '0')) AS DATE))", "_ts_off": "try_cast(substr(_ts_d4, 1, 2) AS INT) * 3600 + try_cast(substr(_ts_d4, 3, 2) AS INT) * 60",
+         "_ts_clock": "CASE WHEN _ts_h IS NULL THEN 0 WHEN _ts_hour < 24 AND _ts_mi < 60 AND _ts_s < 60 THEN _ts_hour * 3600 + _ts_mi * 60 + _ts_s END"},
+        {"_ts_local": "CASE WHEN _ts_y IS NOT NULL AND _ts_m IS NOT NULL AND _ts_ds IS NOT NULL THEN _ts_day * 86400L + _ts_clock END",
+         # days between a late year and the one that stands in for it
+         "_ts_later": f"CASE WHEN _ts_day IS NOT NULL AND _ts_y >= {LAST_YEAR} THEN ({later}) * 86400L ELSE 0L END",
+         "_ts_fixed": r"CASE WHEN _ts_zone IN ('Z', 'UTC', 'UT') THEN 0 WHEN _ts_zone RLIKE r'^[+-]\d' AND _ts_off <= 64800 THEN CASE WHEN _ts_zone LIKE '-%' THEN -_ts_off ELSE _ts_off END END",
+         "_ts_abbr": "CASE WHEN _ts_zone RLIKE '^[A-Z]{2,6}$' AND _ts_zone NOT IN ('UTC', 'UT') THEN _ts_zone END",
+         "_ts_tz": "CASE WHEN coalesce(_ts_zone, '') = '' AND _ts_p[9] <> '' THEN _ts_p[9] ELSE zs_tz END"},
+        {"_ts_at": "_ts_local - _ts_later"},
+        {"_ts_b": f"greatest({FIRST_BUCKET}L, floor(_ts_at / {BUCKET_S}))"},
+    ]
+
+
+#: The steps from the intervals of a value's zone and year to its instant.
+_JUDGED = [
+    {"_ts_hits": "coalesce(filter(zi_spans, x -> x.lo <= _ts_at AND _ts_at < x.hi), array())"},
+    {"_ts_named": "filter(_ts_hits, x -> upper(x.abbr) = _ts_abbr)"},
+    {"_ts_off": "CASE WHEN _ts_fixed IS NOT NULL THEN _ts_fixed WHEN _ts_abbr IS NOT NULL THEN CASE WHEN size(_ts_named) = 1 THEN _ts_named[0].off ELSE coalesce(zs_abbr[_ts_abbr], CASE WHEN _ts_abbr = 'GMT' THEN 0 END) END "
+                "WHEN _ts_zone = '' AND size(_ts_hits) = 1 THEN _ts_hits[0].off END",
+     "_ts_epoch": "CASE WHEN length(_ts_n) BETWEEN 1 AND 11 THEN try_cast(_ts_n AS BIGINT) WHEN length(_ts_n) BETWEEN 12 AND 17 THEN try_cast(_ts_n AS BIGINT) DIV 1000 END"},
+    {"_ts_t": "coalesce(_ts_epoch, _ts_local - _ts_off)"},
+    {"_ts_state": "CASE WHEN _ts_v IS NULL OR _ts_v = '' THEN 'missing' WHEN _ts_t IS NOT NULL THEN 'ok' WHEN _ts_local IS NULL OR _ts_zone <> '' THEN 'unreadable' WHEN size(_ts_hits) > 1 THEN 'ambiguous' WHEN zi_spans IS NOT NULL THEN 'nonexistent' ELSE 'unreadable' END"},
+]
 
 
 def add_instants(df: DataFrame, zones: ZoneTable, values: dict[str, str], src: str = "src") -> DataFrame:
@@ -158,99 +216,61 @@ def add_instants(df: DataFrame, zones: ZoneTable, values: dict[str, str], src: s
     ``ok``, ``missing``, ``unreadable``, ``ambiguous``, ``nonexistent`` holds. Rules: a value with an offset
     or zone is read by it (abbreviations mean those of the source's zone, and decide a repeated hour); bare
     digits are seconds, from 12 digits on milliseconds, since 1970 UTC; other values are local time of the
-    source's zone, a date alone 00:00; fractions are dropped. A row whose ``src`` is unknown keeps its row
-    and gets instants only from values that carry their own offset. Nothing is dropped or repeated; columns
-    of the input keep their names (those starting with ``zi_``/``zs_``/``_ts`` are reserved).
+    zone named in brackets or of the source's, a date alone 00:00; fractions are dropped. A row whose ``src`` is
+    unknown keeps its row and gets instants only from values that carry their own zone. Nothing is dropped or
+    repeated; columns of the input keep their names (those starting with ``zi_``/``zs_``/``_ts`` are reserved).
     """
     keep = df.columns
     out = df.join(zones.sources, F.col(src) == F.col("zs_src"), "left")
     for name, raw in values.items():
-        out = _one(out, zones, name, raw)
+        out = out.withColumn("_ts_v", F.upper(F.regexp_replace(F.col(f"`{raw}`"), r"(?U)^\s+|\s+$", "")))
+        for step in _chain():
+            out = out.withColumns({c: F.expr(e) for c, e in step.items()})
+        out = out.join(zones.intervals, (F.col("_ts_tz") == F.col("zi_tz")) & (F.col("_ts_b") == F.col("zi_bucket")), "left")
+        for step in _JUDGED:
+            out = out.withColumns({c: F.expr(e) for c, e in step.items()})
+        out = out.select(*[F.col(f"`{c}`") for c in keep], F.col("_ts_t").alias(name), F.col("_ts_state").alias(f"{name}_state"), "zs_tz", "zs_order", "zs_abbr")
         keep = [*keep, name, f"{name}_state"]
-        out = out.select(*[F.col(f"`{c}`") for c in keep], "zs_tz", "zs_order", "zs_abbr")
     return out.drop("zs_tz", "zs_order", "zs_abbr")
 
 
-def _one(df: DataFrame, zones: ZoneTable, name: str, raw: str) -> DataFrame:
-    v = F.upper(F.regexp_replace(F.col(f"`{raw}`"), r"(?U)^\s+|\s+$", ""))
-    df = df.withColumn("_ts_v", v)
-    v, canon = F.col("_ts_v"), F.lit(None).cast("string")
-    for pattern, order in reversed(_FORMS):
-        mark = F.lit(order) if order != "?" else F.coalesce(F.col("zs_order"), F.lit("DMY"))
-        canon = F.when(v.rlike(pattern), F.concat(mark, F.regexp_replace(v, pattern, "|$1|$2|$3|$4|$5|$6|$7|$8|$9"))).otherwise(canon)
-    canon = F.when(v.rlike(r"^\d+(?:\.\d+)?$"), F.lit(None).cast("string")).otherwise(canon)
-    df = df.withColumn("_ts_p", F.split(canon, r"\|", -1))
-    p = lambda i: F.col("_ts_p")[i]
-    order = p(0)
-    # a four-digit last part is the year, whatever the source's order is
-    order = F.when((order == "YMD") & (F.length(p(1)) <= 2) & (F.length(p(3)) == 4), "DMY").otherwise(order)
-    year = F.when(order == "YMD", p(1)).otherwise(p(3)).try_cast("int")
-    month = F.when(order == "MDY", p(1)).otherwise(p(2))
-    day = F.when(order == "YMD", p(3)).when(order == "MDY", p(2)).otherwise(p(1)).try_cast("int")
-    df = df.withColumn("_ts_d", F.struct(year.alias("y"), _month(month).alias("m"), day.alias("d"), _int(p(4)).alias("h"), _int(p(5)).alias("mi"), _int(p(6)).alias("s"), F.regexp_replace(p(7), r"\.", "").alias("half"), p(8).alias("zone"), p(9).alias("named")))
-    d = lambda k: F.col(f"_ts_d.{k}")
-    y = F.when(d("y") < 70, d("y") + 2000).when(d("y") < 100, d("y") + 1900).otherwise(d("y"))
-    date = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(d("m").cast("string"), 2, "0"), F.lpad(d("d").cast("string"), 2, "0")).try_cast("date")
-    hour = F.when(d("half") == "", d("h")).when(d("h").between(1, 12), d("h") % 12 + F.when(d("half") == "PM", 12).otherwise(0))
-    clock = F.when(d("h").isNull(), F.lit(0)).when((hour < 24) & (d("mi") < 60) & (F.coalesce(d("s"), F.lit(0)) < 60), hour * 3600 + d("mi") * 60 + F.coalesce(d("s"), F.lit(0)))
-    local = F.when(d("y").isNotNull() & d("m").isNotNull() & d("d").isNotNull(), F.unix_date(date).cast("long") * 86400 + clock)
-    zone = F.regexp_replace(F.regexp_replace(d("zone"), "−", "-"), r"^(?:UTC|GMT)(?=[+-])", "")
-    digits = F.regexp_replace(zone, r"[+:-]", "")
-    digits = F.when(F.length(digits) <= 2, F.concat(F.lpad(digits, 2, "0"), F.lit("00"))).otherwise(F.lpad(digits, 4, "0"))
-    number = digits.substr(1, 2).try_cast("int") * 3600 + digits.substr(3, 2).try_cast("int") * 60
-    fixed = F.when(zone.isin("Z", "UTC", "UT"), F.lit(0)).when(zone.rlike(r"^[+-]\d") & (number <= 64800), F.when(zone.startswith("-"), -number).otherwise(number))
-    zone_name = F.when((F.coalesce(zone, F.lit("")) == "") & (d("named") != ""), F.regexp_extract(F.col(f"`{raw}`"), r"\[([^\]]+)\]", 1)).otherwise(F.col("zs_tz"))
-    abbr = F.when(zone.rlike("^[A-Z]{2,6}$") & ~zone.isin("UTC", "UT"), zone)
-    df = df.withColumn("_ts_l", F.struct(local.alias("local"), fixed.cast("long").alias("fixed"), abbr.alias("abbr"), zone_name.alias("tz"), zone.alias("zone")))
-    df = df.withColumn("_ts_b", F.floor(F.col("_ts_l.local") / BUCKET_S)).join(F.broadcast(zones.intervals), (F.col("_ts_l.tz") == F.col("zi_tz")) & (F.col("_ts_b") == F.col("zi_bucket")), "left")
-    loc = F.col("_ts_l.local")
-    hits = F.filter("zi_spans", lambda x: (x["lo"] <= loc) & (loc < x["hi"]))
-    df = df.withColumn("_ts_h", F.coalesce(hits, F.array().cast(_INTERVALS["zi_spans"].dataType)))
-    hits, a = F.col("_ts_h"), F.col("_ts_l.abbr")
-    named = F.filter(hits, lambda x: F.upper(x["abbr"]) == a)
-    by_abbr = F.when(F.size(named) == 1, named[0]["off"]).otherwise(F.coalesce(F.element_at("zs_abbr", a), F.when(a == "GMT", F.lit(0))))
-    off = F.when(F.col("_ts_l.fixed").isNotNull(), F.col("_ts_l.fixed")).when(a.isNotNull(), by_abbr).when((F.col("_ts_l.zone") == "") & (F.size(hits) == 1), hits[0]["off"])
-    number = F.when(v.rlike(r"^\d+(?:\.\d+)?$"), F.regexp_extract(v, r"^(\d+)", 1))
-    epoch = F.when(F.length(number) <= 11, number.try_cast("long")).when(F.length(number) <= 17, F.floor(number.try_cast("long") / 1000))
-    df = df.withColumn(name, F.coalesce(epoch, loc - off))
-    state = F.when(v.isNull() | (v == ""), "missing").when(F.col(f"`{name}`").isNotNull(), "ok").when(loc.isNull() | (F.col("_ts_l.zone") != ""), "unreadable").when(F.size(hits) > 1, "ambiguous").when(F.col("zi_spans").isNotNull(), "nonexistent").otherwise("unreadable")
-    return df.withColumn(f"{name}_state", state)
-
-
 def no_instant(state: str) -> Column:
     """True where a value is there but gives no single instant."""
     return ~F.col(state).isin("ok", "missing")
 
 
+def stacked(tickets: DataFrame, records: DataFrame) -> DataFrame:
+    """(tbl, seq, field, src, line, kind, raw): a row for each value of the three columns, so that one chain reads them all."""
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")) for c in ("created_at", "closed_at")])
+    own = tickets.select(F.lit("tickets").alias("tbl"), "seq", "src", "line", F.lit("tickets").alias("kind"), F.inline(cells))
+    return own.unionByName(records.select(F.lit("records").alias("tbl"), "seq", "src", "line", "kind", F.lit("date").alias("field"), F.col("date").alias("raw")))
+
+
 def time_faults(tickets: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
-    """(tbl, seq, field) of the values without a single instant and of those that contradict another column.
+    """(tbl, seq, field) of the values without a single instant and of those that contradict another value.
 
-    Tickets are read once for their own two columns and once, pruned to created_at, for the comparison with
-    ``records.date``, which is the only shuffle: narrow rows hashed on (src, line), a unique key, so no key
-    is hot. Where (src, line) repeats in tickets the record is compared with all of them. Null and blank values are
-    no cases; repeated rows are cases each.
+    Each value is read once. What can't contradict anything (work orders with an instant) ends there; the rest, narrow
+    rows, is shuffled once, hashed on (src, line), a unique key, so no key is hot; rows without one are spread by their
+    number. Where (src, line) repeats in tickets the record is compared with all of them. Null and blank values are no
+    cases; repeated rows are cases each.
     """
-    zones = ZoneTable(tickets.sparkSession, sources)
-    t = add_instants(tickets.select("seq", "src", "created_at", "closed_at"), zones, {"_c": "created_at", "_e": "closed_at"})
-    bad_end = no_instant("_e_state") | F.coalesce(F.col("_e") < F.col("_c"), F.lit(False))
-    fields = F.array_compact(F.array(F.when(no_instant("_c_state"), F.lit("created_at")), F.when(bad_end, F.lit("closed_at"))))
-    from_tickets = t.select(F.lit("tickets").alias("tbl"), "seq", F.explode(fields).alias("field"))
-    made = add_instants(tickets.select("src", "line", "created_at"), zones, {"_c": "created_at"}).where(F.col("_c").isNotNull())
-    made = made.groupBy("src", "line").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
-    r = add_instants(records.select("seq", "kind", "src", "line", "date"), zones, {"_d": "date"})
-    # each record is read once: what can't be read is a case by itself, the rest is compared with its ticket
-    differs = (F.col("kind") == "tickets") & ((F.col("_d") != F.col("_lo")) | (F.col("_d") != F.col("_hi")))
-    from_records = r.where(no_instant("_d_state") | (F.col("kind") == "tickets")).join(made, ["src", "line"], "left").where(no_instant("_d_state") | F.coalesce(differs, F.lit(False)))
-    return from_tickets.unionByName(from_records.select(F.lit("records").alias("tbl"), "seq", F.lit("date").alias("field")))
+    values = stacked(tickets, records)
+    v = add_instants(values, ZoneTable(tickets.sparkSession, sources, values.select("raw")), {"_t": "raw"})
+    bad, t, field = no_instant("_t_state"), F.col("_t"), F.col("field")
+    v = v.where(bad | (t.isNotNull() & (F.col("kind") == "tickets")))
+    v = v.select("tbl", "seq", "field", "src", "line", "_t", bad.alias("_bad"), F.when(F.col("src").isNull() | F.col("line").isNull(), F.col("seq")).alias("_lone"))
+    begun = F.when(field == "created_at", t)
+    of_line, of_row = Window.partitionBy("src", "line", "_lone"), Window.partitionBy("src", "line", "_lone", "tbl", "seq")
+    v = v.withColumn("_lo", F.min(begun).over(of_line)).withColumn("_hi", F.max(begun).over(of_line))
+    v = v.withColumn("_own", F.max(begun).over(of_row))
+    early = (field == "closed_at") & (t < F.col("_own"))
+    differs = (field == "date") & F.col("_lone").isNull() & ((t != F.col("_lo")) | (t != F.col("_hi")))
+    return v.where(F.col("_bad") | F.coalesce(early, F.lit(False)) | F.coalesce(differs, F.lit(False))).select("tbl", "seq", "field")
 
 
 def instants(tickets: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
     """(tbl, seq, field, instant, state): every value of the three columns in its one UTC form ``yyyy-MM-ddTHH:mm:ssZ``."""
-    zones = ZoneTable(tickets.sparkSession, sources)
-    t = add_instants(tickets.select("seq", "src", "created_at", "closed_at"), zones, {"_c": "created_at", "_e": "closed_at"})
-    rows = F.array(F.struct(F.lit("created_at").alias("field"), F.col("_c").alias("s"), F.col("_c_state").alias("state")), F.struct(F.lit("closed_at").alias("field"), F.col("_e").alias("s"), F.col("_e_state").alias("state")))
-    a = t.select(F.lit("tickets").alias("tbl"), "seq", F.inline(rows))
-    r = add_instants(records.select("seq", "src", "date"), zones, {"_d": "date"})
-    b = r.select(F.lit("records").alias("tbl"), "seq", F.lit("date").alias("field"), F.col("_d").alias("s"), F.col("_d_state").alias("state"))
-    text = F.concat(F.replace(F.substring(F.timestamp_seconds("s").cast("timestamp_ntz").cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))
-    return a.unionByName(b).select("tbl", "seq", "field", text.alias("instant"), "state")
+    values = stacked(tickets, records)
+    v = add_instants(values, ZoneTable(tickets.sparkSession, sources, values.select("raw")), {"_t": "raw"})
+    text = F.concat(F.replace(F.substring(F.timestamp_seconds("_t").cast("timestamp_ntz").cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))
+    return v.select("tbl", "seq", "field", text.alias("instant"), F.col("_t_state").alias("state"))

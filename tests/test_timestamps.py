@@ -60,6 +60,28 @@ def test_spellings(spark, zones):
     assert {g[1] for g in got} == {"ok"}
 
 
+def test_years_beyond_the_intervals(spark, zones):
+    """Later years follow the last rules, earlier ones the first offset; zoneinfo is the judge."""
+    values, expected = [], []
+    for src in ("berlin", "york", "howe"):
+        zone = ZoneInfo(ZONES[src][0])
+        for y in (1, 99, 1000, 1850, 1899, 2099, 2100, 2101, 2150, 2400, 2777, 9998):
+            for m, d in ((1, 1), (5, 1), (12, 31)):
+                at = datetime(y, m, d, 23, 30)
+                values.append((src, f"{y:04}-{m:02}-{d:02} 23:30"))
+                expected.append(int((at - datetime(1970, 1, 1)).total_seconds() - at.replace(tzinfo=zone).utcoffset().total_seconds()))
+    got = read(spark, zones, values)
+    assert [(v, g[0]) for v, g in zip(values, got, strict=True)] == list(zip(values, expected, strict=True))
+    assert read(spark, zones, [("berlin", "2150-03-29 02:30"), ("berlin", "2150-10-25 02:30")]) == [(None, "nonexistent"), (None, "ambiguous")]
+
+
+def test_bracketed_zone_beyond_the_sources(spark):
+    sources = spark.createDataFrame([("berlin", "Europe/Berlin", "DMY")], "src string, tz string, date_order string")
+    df = spark.createDataFrame([(0, "berlin", "2024-03-01 10:00 [America/New_York]"), (1, "berlin", "2024-11-03 01:30[America/New_York]"), (2, "berlin", "2024-03-01 10:00 [No/Where]"), (3, "x", "2024-03-01 10:00 [Asia/Tokyo]")], "i int, src string, v string")
+    rows = ts.add_instants(df, ts.ZoneTable(spark, sources, df.select("v")), {"x": "v"}).orderBy("i").collect()
+    assert [(r["x"], r["x_state"]) for r in rows] == [(utc(2024, 3, 1, 15), "ok"), (None, "ambiguous"), (None, "unreadable"), (utc(2024, 3, 1, 1), "ok")]
+
+
 def test_no_single_instant(spark, zones):
     cases = {
         ("berlin", "2024-10-27 02:30"): "ambiguous", ("berlin", "2024-03-31 02:30"): "nonexistent", ("howe", "2023-04-02 01:45"): "ambiguous",
