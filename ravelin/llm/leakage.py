@@ -1,14 +1,18 @@
 """Passages of held-out evaluation items inside a corpus.
 
 Method: template canonicalisation. Texts are cut down to words (case, markup, punctuation, line breaks and invisible
-characters go), numbers, units and names become typed placeholders, and every window of five words of an item's
-passage goes into a hash table. The corpus is joined with that table by hash, window by window. Each document and
-item that share windows are then aligned around them, where the slots behind the placeholders must agree:
-a slot with another value counts as a changed word, so a question asked again with other values is told from a copy.
-
-The items are the stated query set: they are broadcast in blocks of at most MAX_ITEM_WORDS words, so a larger set
-takes more passes over the corpus, not more memory. Documents stay where they are read: no shuffle, no pairs of documents.
-A document is aligned only where shared windows stand as close as any leak has them, so frequent wording costs a lookup.
+characters go), numbers, units and names become typed placeholders, and the windows of five words of the items' passages
+make a table (hash, item, place). The windows of the documents are joined with it by hash. Each document and item that
+share windows close together are then aligned around them, and the slots behind the placeholders decide: if the words
+agree, slots included, the stretch is a ``copy``; if it agrees but for slots whose values are replaced by others one for
+one, the question was asked again with other values (``reparameterised``); all else is neither.
+
+What stands for a name is told without case: a word that looks like a name in any item stands for one wherever it stands.
+A name that only the document has is told by its capital; its windows are looked up with and without it.
+
+A Bloom filter of the item windows, sized by their number, tells most windows of documents apart where these are read, and
+only documents in which hits stand as close as any leak has them are kept, cut down to the regions around; those are joined.
+Nothing of the benchmark passes through the driver but the filters' bits, and nothing of the documents.
 """
 
 from __future__ import annotations
@@ -16,14 +20,17 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import spread
+from ravelin.session import cut, small_side
 
 #: Words of a window; a stretch of 20 words with two of them changed still has a window that is clean.
 WINDOW = 5
@@ -43,7 +50,17 @@ KEPT, EDIT = 1.0, -2.0
 _LEAKS = [(n, int(MAX_CHANGED * n)) for n in range(MIN_WORDS, LONGEST + 1)]
 LEAST_WINDOWS = min(n - (WINDOW - 1) - WINDOW * e for n, e in _LEAKS)
 LEAST_SCORE = min((n - e) * KEPT + e * EDIT for n, e in _LEAKS)
-MAX_ITEM_WORDS = 2_000_000
+LONGEST_IN_DOC = LONGEST + int(MAX_CHANGED * LONGEST)
+#: A leak lies within this many words of the shared windows that are close enough to be one's.
+REACH = LONGEST_IN_DOC + DRIFT
+#: Bits of a Bloom filter for each entry, and their bounds: 128 KB to 32 MB.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+#: A window or item table of at most so many rows is broadcast; a larger one is joined by a shuffle.
+SMALL = 500_000
+#: Words kept of the first or last MIN_WORDS words of any leak, whichever has more: both hold an edit only where they overlap.
+LEAST_KEPT = min(MIN_WORDS - min(e, (e + 2 * MIN_WORDS - n) // 2) for n, e in _LEAKS)
+MOST_EDITS = max(e for _, e in _LEAKS)
+COPY, AGAIN = "copy", "reparameterised"
 
 #: Units that follow numbers.
 UNITS = set(
@@ -73,9 +90,14 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(t)
 
 
-def template(words: list[str], names: frozenset[str] | set[str] = frozenset()) -> list[str]:
-    """Words (case folded) with numbers, units and names as typed placeholders."""
-    return ["#n" if w[0].isdigit() else "#u" if w in UNITS else "#p" if w in names else w for w in words]
+def passage_of(text: str | None) -> str:
+    """An item's passage: the first line."""
+    return (text or "").strip().split("\n")[0]
+
+
+def names_in(text: str) -> set[str]:
+    """Words that look like names, case folded."""
+    return {w.casefold() for w in _NAME.findall(text)}
 
 
 def _numbered(item: list[str], doc: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +106,14 @@ def _numbered(item: list[str], doc: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return a, np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in doc), np.int64, len(doc))
 
 
-def aligned(item: list[str], doc: list[str]) -> tuple[int, int]:
-    """(words of the item covered, words kept) of the best local alignment: Smith-Waterman, rows in numpy."""
-    return _aligned(item, doc)[:2]
+def aligned(item: list[str], doc: list[str]) -> tuple[int, int, float, list[tuple[int, int]]]:
+    """(words of the item covered, words kept, score, places of the kept words) of the best local alignment.
 
-
-def _aligned(item: list[str], doc: list[str]) -> tuple[int, int, float]:
-    """``aligned``, and the score."""
+    Smith-Waterman, rows in numpy.
+    """
     n, m = len(item), len(doc)
     if not n or not m:
-        return 0, 0, 0.0
+        return 0, 0, 0.0, []
     a, b = _numbered(item, doc)
     score = np.zeros((n + 1, m + 1))
     steps = np.arange(m + 1) * EDIT
@@ -102,17 +122,18 @@ def _aligned(item: list[str], doc: list[str]) -> tuple[int, int, float]:
         row[1:] = np.maximum(0, np.maximum(score[i - 1, :-1] + np.where(b == a[i - 1], KEPT, EDIT), score[i - 1, 1:] + EDIT))
         score[i] = np.maximum.accumulate(row - steps) + steps  # words added in the document
     i, j = np.unravel_index(int(score.argmax()), score.shape)
-    end, kept, best = i, 0, float(score[i, j])
+    end, pairs, best = i, [], float(score[i, j])
     while i > 0 and j > 0 and score[i, j] > 0:
         same = a[i - 1] == b[j - 1]
         if abs(score[i, j] - (score[i - 1, j - 1] + (KEPT if same else EDIT))) < 1e-9:
-            kept += bool(same)
             i, j = i - 1, j - 1
+            if same:
+                pairs.append((int(i), int(j)))
         elif abs(score[i, j] - (score[i - 1, j] + EDIT)) < 1e-9:
             i -= 1
         else:
             j -= 1
-    return int(end - i), kept, best
+    return int(end - i), len(pairs), best, pairs
 
 
 def stretch(item: list[str], doc: list[str]) -> bool:
@@ -138,133 +159,271 @@ def stretch(item: list[str], doc: list[str]) -> bool:
     return False
 
 
-class _Numbers(dict):
-    """Word -> number of its template form, 0 if no item has it. Filled as words come; it only saves time."""
+class Bits:
+    """A Bloom filter over 64-bit hashes with two probes (one for each half of a hash), its bits gathered by a mergeable aggregate."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.shift = table, np.uint64(64 - (len(table) * 8).bit_length() + 1)
+
+    @staticmethod
+    def gather(hashes: DataFrame, n: int) -> Bits:
+        """Of the column ``h`` with about ``n`` values."""
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n).bit_length()))
+        by = 64 - (bits.bit_length() - 1)
+        places = F.array(F.shiftrightunsigned("h", by), F.shiftrightunsigned(F.shiftleft("h", 32), by))
+        each = hashes.select(F.explode(places).alias("x")).select((F.col("x") + 1).alias("x"))
+        rows = each.groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
+        table = np.zeros(bits // 8, dtype=np.uint8)
+        for r in rows.collect():  # at most bits / 32768 rows of 4 KB
+            table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
+        return Bits(table)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """The places in ``h`` (unsigned) of values that are likely in the filter; no value that is in it is missed."""
+        at = h >> self.shift
+        first = np.nonzero(self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)[0]
+        at = h[first] << np.uint64(32) >> self.shift
+        return first[(self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1) > 0]
+
+
+#: The last two bits of a word's number tell its case.
+_TITLE, _LOWER = 1, 2
+
+
+def word_hash(w: str) -> int:
+    return xxhash.xxh3_64_intdigest(w)
+
+
+_SLOT = {c: word_hash(c) & ~3 for c in ("#n", "#u", "#p")}
+
 
-    def __init__(self, vocabulary: dict[str, int], names: set[str]):
+class Templates(dict):
+    """Word as written -> number of its template form, with its case. Filled as words come; it only saves time."""
+
+    def __init__(self, names: Bits):
         super().__init__()
-        self.vocabulary, self.names = vocabulary, names
+        self.names, self.forms = names, {}
+
+    def form(self, w: str) -> str:
+        """Typed placeholder of a number, unit or name, else the word itself (case folded)."""
+        out = self.forms.get(w)
+        if out is None:
+            if len(self.forms) > 200_000:
+                self.forms.clear()
+            name = len(self.names.has(np.array([word_hash(w)], dtype=np.uint64)))
+            out = self.forms[w] = "#n" if w[0].isdigit() else "#u" if w in UNITS else "#p" if name else w
+        return out
 
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        n = self[word] = self.vocabulary.get(template([word.casefold()], self.names)[0], 0)
+        case = _TITLE if word.istitle() and len(word) > 1 else _LOWER if word.islower() else 0
+        n = self[word] = (word_hash(self.form(word.casefold())) & ~3) | case
         return n
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def windows(numbers: np.ndarray) -> np.ndarray:
+    """A hash for each window of word numbers, case disregarded."""
+    n = len(numbers) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    plain, h = numbers & ~np.uint64(3), np.zeros(n, dtype=np.uint64)
+    for k in range(WINDOW):
+        h = (h ^ plain[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def own_names(numbers: np.ndarray) -> np.ndarray | None:
+    """The numbers with capitalised words after words in lower case as names, None if there are none."""
+    case = numbers & np.uint64(3)
+    own = np.zeros(len(numbers), dtype=bool)
+    own[1:] = (case[1:] == _TITLE) & (case[:-1] == _LOWER) & (numbers[1:] & ~np.uint64(3) != _SLOT["#p"])
+    return np.where(own, np.uint64(_SLOT["#p"]), numbers) if own.any() else None
+
+
+def close(places: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of sorted places that hold as many windows as a leak has, as close as a leak has them."""
+    if len(places) < LEAST_WINDOWS:
+        return []
+    p, q = places[: len(places) - LEAST_WINDOWS + 1], places[LEAST_WINDOWS - 1 :]
+    ok = q - p <= LONGEST_IN_DOC - WINDOW
+    return list(zip(p[ok].tolist(), q[ok].tolist(), strict=True))
+
+
+def regions(places: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Stretches of a document of n words that hold every leak around these places, merged."""
+    out: list[tuple[int, int]] = []
+    for p, q in close(places):
+        lo, hi = max(0, p - REACH), min(n, q + WINDOW + REACH)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
 
-class ItemIndex:
-    """Hash table of the template windows of the items.
 
-    A word that looks like a name in any item takes a name's slot wherever it stands, in items and documents alike and
-    in any case, so that an equal window always has an equal hash.
-    """
+def _holds(item: list[str], part: list[str]) -> tuple[bool, list[tuple[int, int]], int]:
+    """(whether a long enough stretch of the item stands in the part, places of kept words, words of the item covered)."""
+    covered, kept, score, pairs = aligned(item, part)
+    if covered >= MIN_WORDS - SLACK and covered - kept <= MAX_CHANGED * covered:
+        return True, pairs, covered
+    return score >= LEAST_SCORE and stretch(item, part), pairs, covered
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.words = {i: [w.casefold() for w in words_of(t)] for i, t in items}
-        names = {w.casefold() for _, t in items for w in _NAME.findall(t)}
-        self.vocabulary: dict[str, int] = {}
-        at: dict[int, list[tuple[int, int]]] = {}
-        for i, words in self.words.items():
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in template(words, names)]
-            for k, h in enumerate(self.hashes(np.array(ids, dtype=np.int64)).tolist()):
-                at.setdefault(h, []).append((i, k))
-        self.at = at
-        self.sorted = np.array(sorted(at) or [0], dtype=np.int64)
-        self.numbers = _Numbers(self.vocabulary, names)
 
-    @staticmethod
-    def hashes(ids: np.ndarray) -> np.ndarray:
-        """A hash for each window of word numbers; windows with an unknown word (0) get 0."""
-        n = len(ids) - WINDOW + 1
-        if n <= 0:
-            return np.empty(0, dtype=np.int64)
-        h, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
-        for k in range(WINDOW):
-            part = ids[k : k + n]
-            h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            known &= part > 0
-        return np.where(known, h.view(np.int64), 0)
-
-    def leaks(self, text: str) -> list[int]:
-        """The items of which the text holds a long enough stretch."""
-        words = words_of(text)
-        if len(words) < WINDOW:
-            return []
-        h = self.hashes(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-        place = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        hits = np.nonzero((self.sorted[place] == h) & (h != 0))[0]
-        if not len(hits):
-            return []
-        found: dict[int, list[tuple[int, int]]] = {}
-        low = [w.casefold() for w in words]
-        for p in hits.tolist():
-            window = low[p : p + WINDOW]
-            for item, k in self.at.get(int(h[p]), ()):
-                if self.words[item][k : k + WINDOW] == window:  # the slots agree
-                    found.setdefault(item, []).append((p, k))
-        return sorted(i for i, places in found.items() if self._holds(i, places, low))
-
-    def _holds(self, item: int, places: list[tuple[int, int]], words: list[str]) -> bool:
-        """Aligns the item with every region of the document that holds enough of its windows for a leak."""
-        passage = self.words[item]
-        reach = len(passage) + DRIFT
-        starts = sorted({p for p, _ in places})
-        longest = LONGEST + int(MAX_CHANGED * LONGEST)  # in the document, words added
-        dense = [(p, q) for p, q in zip(starts, starts[LEAST_WINDOWS - 1 :], strict=False) if q - p <= longest - WINDOW]
-        regions: list[list[int]] = []
-        for p, q in dense:  # a leak around the windows from p to q lies within reach of them
-            lo, hi = max(0, p - reach), min(len(words), q + WINDOW + reach)
-            if regions and lo <= regions[-1][1]:
-                regions[-1][1] = hi
-            else:
-                regions.append([lo, hi])
-        # long regions are aligned piece by piece, the pieces overlapping by more than a leak
-        return any(self._leak(passage, words[at : min(hi, at + 5 * reach)]) for lo, hi in regions for at in range(lo, hi, 3 * reach))
+def replaced(item: list[str], part: list[str], slots: list[tuple[int, int]]) -> int | None:
+    """How many slots contradict the mapping of the others; None if all values are the item's own.
 
-    @staticmethod
-    def _leak(passage: list[str], part: list[str]) -> bool:
-        covered, kept, score = _aligned(passage, part)
-        if covered >= MIN_WORDS - SLACK and covered - kept <= MAX_CHANGED * covered:
+    A value must become the same value wherever it stands, and no two the same one.
+    """
+    seen = Counter((item[i], part[j]) for i, j in slots)
+    if all(a == b for a, b in seen):
+        return None
+    to: dict[str, str] = {}
+    back: dict[str, str] = {}
+    wrong = 0
+    for (a, b), n in seen.most_common():
+        if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
+            wrong += n
+    return wrong
+
+
+def judge(item: list[str], part: list[str], forms: Templates, own: set[str]) -> str | None:
+    """``copy``, ``reparameterised`` or None. ``own``: words that are names in the document (case folded)."""
+    a = list(map(forms.form, item))
+    shapes = [list(map(forms.form, part))]
+    if not own.isdisjoint(part):
+        shapes.append(["#p" if w in own else x for w, x in zip(part, shapes[0], strict=True)])
+    for i, b in enumerate(shapes):
+        holds, pairs, covered = _holds(a, b)
+        if i == 0 and holds and _holds(item, part)[0]:  # what agrees word by word agrees as a template
+            return COPY
+        slots = [(i, j) for i, j in pairs if a[i].startswith("#")]
+        if holds and (wrong := replaced(item, part, slots)) is not None and covered - len(pairs) + wrong <= MAX_CHANGED * covered:
+            return AGAIN
+    return None
+
+
+def likely(item: np.ndarray, part: np.ndarray, diagonals: set[int]) -> bool:
+    """Whether enough of some MIN_WORDS words in a row stand near one of the diagonals, as in any leak: it has no more edits than MOST_EDITS."""
+    n = len(item)
+    wide = np.full(len(part) + 2 * (n + MOST_EDITS), -1)
+    wide[n + MOST_EDITS : n + MOST_EDITS + len(part)] = part
+    for d in diagonals:
+        if not -n < d < len(part):
+            continue
+        same = np.zeros(n, dtype=bool)
+        for x in range(2 * MOST_EDITS + 1):
+            same |= wide[n + d + x : 2 * n + d + x] == item
+        total = np.concatenate([[0], np.cumsum(same)])
+        if n >= MIN_WORDS and (total[MIN_WORDS:] - total[:-MIN_WORDS]).max() >= LEAST_KEPT:
             return True
-        return score >= LEAST_SCORE and stretch(passage, part)
+    return False
+
+
+def _judged(passage: str, starts: list[int], parts: list[str], at: list, forms: Templates, own: set[str]) -> str | None:
+    item = [w.casefold() for w in words_of(passage)]
+    places, best = np.array([x["p"] for x in at]), None
+    own_form = lambda w: "#p" if w in own else forms.form(w)
+    for start, text in zip(starts, parts, strict=True):
+        words = text.split(" ")
+        diagonals = {x["p"] - start - x["k"] for x in at if start <= x["p"] < start + len(words)}
+        shapes = [forms.form] if own.isdisjoint(words) else [forms.form, own_form]
+        if not any(likely(*_numbered(list(map(forms.form, item)), list(map(shape, words))), diagonals) for shape in shapes):
+            continue
+        for lo, hi in regions(np.unique(places[(places >= start) & (places < start + len(words))]) - start, len(words)):
+            for x in range(lo, hi, 3 * REACH):  # long regions piece by piece, the pieces overlapping by more than a leak
+                kind = judge(item, words[x : min(hi, x + 5 * REACH)], forms, own)
+                if kind == COPY:
+                    return COPY
+                best = best or kind
+    return best
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, no, passage): every item with a passage; ``no`` tells apart repeated ids. Null ids and blank texts are no items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"item_id": pdf["item_id"], "passage": [passage_of(t) for t in pdf["text"]]})
+
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    rows = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(run, f"item_id {kind}, passage string")
+    return cut(rows.where(F.col("passage") != "").withColumn("no", F.monotonically_increasing_id()))
+
 
+def _names(items: DataFrame) -> Bits:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": np.array([word_hash(w) for w in sorted(set().union(*map(names_in, pdf["passage"])))], dtype=np.uint64).view(np.int64)})
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items' passages (the first line), in blocks that fit into one broadcast. Null and blank items have none."""
-    block, size = [], 0
-    for r in benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator():
-        passage = r["text"].strip().split("\n")[0]
-        if passage.strip():
-            block.append((r["item_id"], passage))
-            size += passage.count(" ") + 1
-        if size >= MAX_ITEM_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    most = items.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0] // 8  # hardly more words, let alone names
+    return Bits.gather(items.mapInPandas(run, "h long"), most)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id) of documents that hold a stretch of an item's passage.
+    """(doc_id, item_id, kind) of documents that hold a stretch of an item's passage, ``kind`` being copy or reparameterised.
 
-    Null, empty and blank texts hold none; repeated documents and items are cases of their own. Whole texts are read.
+    Null, empty and blank texts hold none; repeated documents are cases of their own, an item given twice is one. Whole
+    texts are read.
     """
     spark = documents.sparkSession
     kinds = documents.schema[key].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"k {kinds[0]}, item_id {kinds[1]}"
+    items = _items(benchmark)
+    names = spark.sparkContext.broadcast(_names(items).table)
+
+    def item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms = Templates(Bits(names.value))
+        for pdf in batches:
+            for no, passage in zip(pdf["no"], pdf["passage"], strict=True):
+                h = windows(forms.numbers(words_of(passage))).view(np.int64)
+                yield pd.DataFrame({"h": h, "no": no, "k": np.arange(len(h))})
+
+    table = cut(items.select("no", "passage").mapInPandas(item_windows, "h long, no long, k int"))
+    n = table.count()
+    if not n:
+        return spark.createDataFrame([], f"`{key}` {kinds[0]}, item_id {kinds[1]}, kind string")
+    shared = spark.sparkContext.broadcast(Bits.gather(table, n).table)
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms, known = Templates(Bits(names.value)), Bits(shared.value)
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+                words = words_of(t)
+                numbers = forms.numbers(words)
+                h = windows(numbers)
+                at = known.has(h)
+                places, hashes = at, h[at]
+                if (again := own_names(numbers)) is not None:
+                    h = windows(again)
+                    at = known.has(h)
+                    places, hashes = np.concatenate([places, at]), np.concatenate([hashes, h[at]])
+                around = regions(np.unique(places), len(words)) if len(places) >= LEAST_WINDOWS else []
+                if around:
+                    low = [w.casefold() for w in words]
+                    own = [] if again is None else sorted({low[i] for i in np.nonzero(again != numbers)[0].tolist()})
+                    out.append((k, [lo for lo, _ in around], [" ".join(low[lo:hi]) for lo, hi in around], own, places.tolist(), hashes.view(np.int64).tolist()))
+            yield pd.DataFrame(out, columns=["k", "starts", "parts", "own", "p", "h"])
+
+    schema = f"k {kinds[0]}, starts array<int>, parts array<string>, own array<string>, p array<int>, h array<bigint>"
     base = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()), "k")
-    out = None
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value)
-            for pdf in batches:
-                yield pd.DataFrame([(k, i) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i in index.leaks(t)], columns=["k", "item_id"])
-
-        part = base.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return out.withColumnRenamed("k", key)
+    kept = cut(base.mapInPandas(hits, schema).withColumn("id", F.monotonically_increasing_id()))
+    pairs = kept.select("id", F.inline(F.arrays_zip("p", "h"))).join(small_side(table, SMALL), "h")
+    places = pairs.groupBy("id", "no").agg(F.sort_array(F.collect_set(F.struct("p", "k"))).alias("at"))
+    last = LEAST_WINDOWS - 1
+    near = f"exists(sequence(0, size(at) - {LEAST_WINDOWS}), i -> at[i + {last}].p - at[i].p <= {LONGEST_IN_DOC - WINDOW})"
+    cases = places.where(F.size("at") >= LEAST_WINDOWS).where(near)
+    texts = kept.select("id", "k", "starts", "parts", "own").join(cases, "id").join(small_side(items, SMALL), "no")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms = Templates(Bits(names.value))
+        for pdf in batches:
+            rows = [(x.id, x.k, x.item_id, kind) for x in pdf.itertuples() if (kind := _judged(x.passage, list(x.starts), list(x.parts), list(x.at), forms, set(x.own)))]
+            yield pd.DataFrame(rows, columns=["id", "k", "item_id", "kind"])
+
+    found = texts.mapInPandas(run, f"id long, k {kinds[0]}, item_id {kinds[1]}, kind string")
+    return found.groupBy("id", "item_id").agg(F.first("k").alias(key), F.min("kind").alias("kind")).select(key, "item_id", "kind")
