@@ -27,11 +27,24 @@ CASES += [("Список деталей пуст уже второй день",
 CASES += [("Список деталей пуст уже второй день", "koi8-r", "cp1251"), ("Список деталей пуст уже второй день", "cp1251", "latin-1"), ("夜間処理の停止が確認されました", "cp932", "cp1252"), ("夜間処理の停止が確認されました", "utf-8", "cp1252")]
 
 
+CASES += [("Το σύστημα δεν ανταποκρίνεται μετά την ενημέρωση", "cp1253", "cp1252"), ("Το σύστημα δεν ανταποκρίνεται", "iso8859-7", "latin-1"), ("המערכת אינה מגיבה לאחר העדכון", "cp1255", "cp1252"), ("Das Gerät läuft für größere Stücke", "cp850", "cp1252")]
+CASES += [("系统更新后没有响应请尽快处理", "gb18030", "latin-1"), ("系统更新后没有响应请尽快处理", "gbk", "cp1252"), ("系統更新後沒有回應請盡快處理", "big5", "latin-1"), ("업데이트 후에 시스템이 응답하지 않습니다", "cp949", "latin-1")]
+
+
 @pytest.mark.parametrize(("text", "wrote", "read"), CASES)
 def test_garbled_text_comes_back(text, wrote, read):
     assert mj.Restorer().text(garbled(text, wrote, read)) == (text, True, True)
 
 
+def test_many_times_and_cut_short(monkeypatch):
+    x = "Größe"
+    for _ in range(4):
+        x = garbled(x, "utf-8", "latin-1")
+    assert mj.Restorer().text(x) == ("Größe", True, True)
+    monkeypatch.setattr(mj, "MAX_STATES", 2)
+    assert mj.Restorer().text(x)[2] is False  # says that it didn't look at all
+
+
 def test_twice_in_part_and_lost():
     r = mj.Restorer()
     twice = garbled(garbled("Gerät meldet ungültige Schlüssel", "utf-8", "cp1252"), "utf-8", "cp1252")
