@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import spread
+from ravelin.llm.common import Bits, spread, word_hash
 from ravelin.session import cut, small_side
 
 #: Words of a window; a stretch of 20 words with two of them changed still has a window that is clean.
@@ -53,8 +52,6 @@ LEAST_SCORE = min((n - e) * KEPT + e * EDIT for n, e in _LEAKS)
 LONGEST_IN_DOC = LONGEST + int(MAX_CHANGED * LONGEST)
 #: A leak lies within this many words of the shared windows that are close enough to be one's.
 REACH = LONGEST_IN_DOC + DRIFT
-#: Bits of a Bloom filter for each entry, and their bounds: 128 KB to 32 MB.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: A window or item table of at most so many rows is broadcast; a larger one is joined by a shuffle.
 SMALL = 500_000
 #: Words kept of the first or last MIN_WORDS words of any leak, whichever has more: both hold an edit only where they overlap.
@@ -159,41 +156,10 @@ def stretch(item: list[str], doc: list[str]) -> bool:
     return False
 
 
-class Bits:
-    """A Bloom filter over 64-bit hashes with two probes (one for each half of a hash), its bits gathered by a mergeable aggregate."""
-
-    def __init__(self, table: np.ndarray):
-        self.table, self.shift = table, np.uint64(64 - (len(table) * 8).bit_length() + 1)
-
-    @staticmethod
-    def gather(hashes: DataFrame, n: int) -> Bits:
-        """Of the column ``h`` with about ``n`` values."""
-        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n).bit_length()))
-        by = 64 - (bits.bit_length() - 1)
-        places = F.array(F.shiftrightunsigned("h", by), F.shiftrightunsigned(F.shiftleft("h", 32), by))
-        each = hashes.select(F.explode(places).alias("x")).select((F.col("x") + 1).alias("x"))
-        rows = each.groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
-        table = np.zeros(bits // 8, dtype=np.uint8)
-        for r in rows.collect():  # at most bits / 32768 rows of 4 KB
-            table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
-        return Bits(table)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        """The places in ``h`` (unsigned) of values that are likely in the filter; no value that is in it is missed."""
-        at = h >> self.shift
-        first = np.nonzero(self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)[0]
-        at = h[first] << np.uint64(32) >> self.shift
-        return first[(self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1) > 0]
-
-
 #: The last two bits of a word's number tell its case.
 _TITLE, _LOWER = 1, 2
 
 
-def word_hash(w: str) -> int:
-    return xxhash.xxh3_64_intdigest(w)
-
-
 _SLOT = {c: word_hash(c) & ~3 for c in ("#n", "#u", "#p")}
 
 
@@ -210,8 +176,7 @@ class Templates(dict):
         if out is None:
             if len(self.forms) > 200_000:
                 self.forms.clear()
-            name = len(self.names.has(np.array([word_hash(w)], dtype=np.uint64)))
-            out = self.forms[w] = "#n" if w[0].isdigit() else "#u" if w in UNITS else "#p" if name else w
+            out = self.forms[w] = "#n" if w[0].isdigit() else "#u" if w in UNITS else "#p" if self.names.holds(w) else w
         return out
 
     def __missing__(self, word: str) -> int:
@@ -307,36 +272,60 @@ def judge(item: list[str], part: list[str], forms: Templates, own: set[str]) ->
     return None
 
 
-def likely(item: np.ndarray, part: np.ndarray, diagonals: set[int]) -> bool:
+def likely(item: np.ndarray, part: np.ndarray, diagonals: list[int]) -> bool:
     """Whether enough of some MIN_WORDS words in a row stand near one of the diagonals, as in any leak: it has no more edits than MOST_EDITS."""
     n = len(item)
-    wide = np.full(len(part) + 2 * (n + MOST_EDITS), -1)
+    if n < MIN_WORDS:
+        return False
+    wide = np.zeros(len(part) + 2 * (n + MOST_EDITS), dtype=part.dtype)
     wide[n + MOST_EDITS : n + MOST_EDITS + len(part)] = part
+    shifted = np.lib.stride_tricks.sliding_window_view(wide, n)
     for d in diagonals:
-        if not -n < d < len(part):
-            continue
-        same = np.zeros(n, dtype=bool)
-        for x in range(2 * MOST_EDITS + 1):
-            same |= wide[n + d + x : 2 * n + d + x] == item
-        total = np.concatenate([[0], np.cumsum(same)])
-        if n >= MIN_WORDS and (total[MIN_WORDS:] - total[:-MIN_WORDS]).max() >= LEAST_KEPT:
-            return True
+        if -n < d < len(part):
+            same = (shifted[n + d : n + d + 2 * MOST_EDITS + 1] == item).any(axis=0)
+            total = np.cumsum(same)
+            if total[MIN_WORDS - 1] >= LEAST_KEPT or (n > MIN_WORDS and (total[MIN_WORDS:] - total[:-MIN_WORDS]).max() >= LEAST_KEPT):
+                return True
     return False
 
 
-def _judged(passage: str, starts: list[int], parts: list[str], at: list, forms: Templates, own: set[str]) -> str | None:
-    item = [w.casefold() for w in words_of(passage)]
-    places, best = np.array([x["p"] for x in at]), None
-    own_form = lambda w: "#p" if w in own else forms.form(w)
-    for start, text in zip(starts, parts, strict=True):
-        words = text.split(" ")
-        diagonals = {x["p"] - start - x["k"] for x in at if start <= x["p"] < start + len(words)}
-        shapes = [forms.form] if own.isdisjoint(words) else [forms.form, own_form]
-        if not any(likely(*_numbered(list(map(forms.form, item)), list(map(shape, words))), diagonals) for shape in shapes):
+class _Read:
+    """Words and numbers of items and of the document at hand; rows of a document come one after the other."""
+
+    def __init__(self, forms: Templates):
+        self.forms, self.id, self.parts, self.passages = forms, None, [], {}
+
+    def item(self, no: int, passage: str) -> tuple[list[str], np.ndarray]:
+        hit = self.passages.get(no)
+        if hit is None:
+            if len(self.passages) > 20_000:
+                self.passages.clear()
+            words = [w.casefold() for w in words_of(passage)]
+            hit = self.passages[no] = words, self.forms.numbers(words) & ~np.uint64(3)
+        return hit
+
+    def document(self, id: int, starts, parts, own: set[str]) -> list[tuple[int, list[str], list[np.ndarray]]]:
+        if id != self.id:
+            self.id, self.parts = id, []
+            for start, text in zip(starts, parts, strict=True):
+                words = text.split(" ")
+                shapes = [self.forms.numbers(words) & ~np.uint64(3)]
+                if not own.isdisjoint(words):
+                    shapes.append(np.where([w in own for w in words], np.uint64(_SLOT["#p"]), shapes[0]))
+                self.parts.append((start, words, shapes))
+        return self.parts
+
+
+def _judged(item: tuple[list[str], np.ndarray], parts: list[tuple[int, list[str], list[np.ndarray]]], p: np.ndarray, k: np.ndarray, forms: Templates, own: set[str]) -> str | None:
+    best = None
+    for start, words, shapes in parts:
+        inside = (p >= start) & (p < start + len(words))
+        diagonals = np.unique(p[inside] - start - k[inside]).tolist()
+        if not any(likely(item[1], x, diagonals) for x in shapes):
             continue
-        for lo, hi in regions(np.unique(places[(places >= start) & (places < start + len(words))]) - start, len(words)):
+        for lo, hi in regions(np.unique(p[inside]) - start, len(words)):
             for x in range(lo, hi, 3 * REACH):  # long regions piece by piece, the pieces overlapping by more than a leak
-                kind = judge(item, words[x : min(hi, x + 5 * REACH)], forms, own)
+                kind = judge(item[0], words[x : min(hi, x + 5 * REACH)], forms, own)
                 if kind == COPY:
                     return COPY
                 best = best or kind
@@ -417,12 +406,19 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     last = LEAST_WINDOWS - 1
     near = f"exists(sequence(0, size(at) - {LEAST_WINDOWS}), i -> at[i + {last}].p - at[i].p <= {LONGEST_IN_DOC - WINDOW})"
     cases = places.where(F.size("at") >= LEAST_WINDOWS).where(near)
+    cases = cases.select("id", "no", F.col("at.p").alias("at_p"), F.col("at.k").alias("at_k"))
     texts = kept.select("id", "k", "starts", "parts", "own").join(cases, "id").join(small_side(items, SMALL), "no")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms = Templates(Bits(names.value))
+        read = _Read(forms)
         for pdf in batches:
-            rows = [(x.id, x.k, x.item_id, kind) for x in pdf.itertuples() if (kind := _judged(x.passage, list(x.starts), list(x.parts), list(x.at), forms, set(x.own)))]
+            rows = []
+            for x in pdf.itertuples():
+                own = set(x.own)
+                kind = _judged(read.item(x.no, x.passage), read.document(x.id, x.starts, x.parts, own), x.at_p, x.at_k, forms, own)
+                if kind:
+                    rows.append((x.id, x.k, x.item_id, kind))
             yield pd.DataFrame(rows, columns=["id", "k", "item_id", "kind"])
 
     found = texts.mapInPandas(run, f"id long, k {kinds[0]}, item_id {kinds[1]}, kind string")

@@ -3,15 +3,15 @@
 Method: surrogate generation. Each item found becomes a keyed replacement of its own kind: the same person, address or
 number gets the same replacement in every text of a run with the same key (coreference), different ones get different
 ones, and format, script, letter case and the gender of a given name are kept. Replacements come from a keyed hash
-(HMAC-SHA-256). Surrogates are checked for collisions over the whole corpus, in every way an item is written, and those
+(HMAC-SHA-256). A name is replaced word by word, so that ``Anna Braun``, ``Ms Braun`` and ``BRAUN, A.`` still belong
+together. Surrogates are checked for collisions over the whole corpus, in every way an item is written, and those
 that collide draw again; ``redacted`` and ``surrogate_table`` use the same draws. The default replacement is a typed
 placeholder such as ``[NAME_F_3K7Q2M9DA5XHZ4TB]``, which no text can hold by chance and which keeps the text readable;
 it needs no shared state and no shuffle, as two of its codes (80 bits) hardly ever are equal.
 
 Detection takes the kinds one after the other, longest evidence first, each on what the former left: email addresses,
 identity numbers (known by the word before them or by their check digit), street addresses, phone numbers (by format, unless the
-word before says they count something else), names (given names in any case, titles, initials, and words that
-introduce a person).
+word before says they count something else), names (``ravelin.llm.names``, with what other texts of the corpus tell).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,7 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import spread
+from ravelin.llm import names
+from ravelin.llm.common import Bits, spread
+from ravelin.llm.names import GIVEN, PARTICLES, TITLES, Lexicon
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Texts remembered in a task; short texts repeat a lot.
@@ -37,21 +39,6 @@ MEMO, MEMO_LENGTH = 100_000, 400
 #: Draws after the first so many are longer by a digit or syllable each, so that a small space can't run out.
 WIDER_AFTER = 4
 
-#: Given names with the gender they are usual for (n: either).
-GIVEN = {
-    "aoi": "n", "anselm": "m", "aveline": "f", "bram": "m", "brisa": "f", "corwen": "m", "devika": "f", "evander": "m",
-    "fenna": "f", "ilse": "f", "isaura": "f", "jorund": "m", "jörn": "m", "kestrel": "n", "kwesi": "m", "leocadia": "f",
-    "linnea": "f", "maelle": "f", "maëlle": "f", "marit": "f", "nuru": "n", "odran": "m", "ottilie": "f", "palesa": "f",
-    "pell": "n", "petra": "f", "renée": "f", "rosalind": "f", "sunniva": "f", "takeo": "m", "tamsin": "f", "tancred": "m",
-    "tobin": "m", "wystan": "m", "yorick": "m", "zoë": "f", "íñigo": "m", "inigo": "m", "zoe": "f", "joern": "m",
-    "alexander": "m", "anna": "f", "carlos": "m", "david": "m", "elena": "f", "emma": "f", "hans": "m", "helena": "f",
-    "james": "m", "jean": "n", "johann": "m", "john": "m", "josé": "m", "juan": "m", "julia": "f", "katarzyna": "f",
-    "laura": "f", "maria": "f", "maría": "f", "martin": "m", "mary": "f", "michael": "m", "olga": "f", "paul": "m",
-    "peter": "m", "pierre": "m", "robert": "m", "sarah": "f", "sofia": "f", "stefan": "m", "thomas": "m", "yuki": "n",
-}
-#: Titles and the gender they tell.
-TITLES = {"herr": "m", "herrn": "m", "frau": "f", "mr": "m", "mrs": "f", "ms": "f", "miss": "f", "mme": "f", "mlle": "f", "monsieur": "m", "madame": "f", "dr": "n", "prof": "n", "señor": "m", "señora": "f", "sra": "f", "senhor": "m", "senhora": "f"}
-PARTICLES = "von|van|de|der|den|di|da|del|della|al|el|la|le|du|bin|ibn|zu|ter|dos|das"
 #: Words before a number that say it counts or names a thing.
 THINGS = set(
     "meter carton part batch case order asset tag serial invoice form build version ticket lane route queue length box pallet "
@@ -59,23 +46,8 @@ THINGS = set(
     "zähler commande facture pedido factura lote compteur colis caja unit model license licence port step page room row bin "
     "shelf drum tracking shipment contract policy".split()
 )
-#: Last words of names of companies, sites and products.
-NO_PERSON = set(
-    "foods rail freight logistics clinics insurance timber textiles robotics studios schools labs energy steel press motors telecom "
-    "mining ports farms optics hotels works water group gmbh inc ltd sa ag llc plc kg co énergie bay site gateway editor console "
-    "agent portal forms billing mail archive router scheduler ledger vault reports sync server plugin team office project street road "
-    "lane hill way cottage crescent avenue system service desk".split()
-)
-#: Words that begin sentences, which an initial before them doesn't make a surname.
-STARTERS = set(
-    "the this that these those we you they he she it i a an please is are was were if when after before since can could let nothing "
-    "in on at for from to of and or but not no our your my their there here what why how who which every some only whenever "
-    "die der das ein eine wir sie ist bitte nach für im am le la les un une merci où el los las una por o os as se ça".split()
-)
-
 #: Parts of names are bounded, so that no text can make a search run back and forth over all of it.
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w’'-]{0,60}\w"
-_WORD = r"[^\W\d_][\w’'-]{0,60}"
 
 EMAIL = re.compile(
     r"(?<![\w.+-])(?P<u>\w[\w.+-]*)[@＠](?P<d>(?:[\w-]+[.．])+[^\W\d_]{2,})(?![\w@])"
@@ -112,14 +84,14 @@ PHONE = re.compile(
     r")" + _EXT + r"(?![\w@]|[.-]\d)"
 )
 _PHONE_WORD = re.compile(r"(?:phone|tel|téléphone|teléfono|telefon|call|fax|mobile|handy|appeler|llame|rückruf|callback)[^.!?\n]{0,40}$", re.I)
-_TITLE = re.compile(rf"(?<![\w.])(?P<t>(?i:{'|'.join(TITLES)}))\b\.?\s+(?:(?:Dr|Prof)\.?\s+)?(?P<s>(?:(?:{PARTICLES})\s+)*{_CAP}(?:\s{_CAP})?)")
-_GIVEN = "|".join(sorted(map(re.escape, GIVEN), key=len, reverse=True))
-_GIVEN_FIRST = re.compile(rf"(?<![\w@.-])(?P<g>(?:{_GIVEN}))(?![\w’'-])(?:\s+(?P<i>[^\W\d_])\.)?(?P<p>(?:\s+(?:{PARTICLES})\b)*)(?:\s+(?P<s>{_WORD}))?", re.I)
-_GIVEN_LAST = re.compile(rf"(?<![\w@.-])(?P<s>(?:(?:{PARTICLES})\s+)*{_CAP}),\s+(?P<g>(?i:{_GIVEN}))\b(?:\s+[^\W\d_]\.)?")
-_INITIAL = re.compile(rf"(?:^|(?P<cue>(?<![\w’'])[^\W\d_][\w’']{{0,30}}|[.!?:,;(<\n-])\s*)(?<![\w.])(?P<i>[^\W\d_a-zß-öø-ÿ])\.\s(?P<p>(?:(?:{PARTICLES})\s)*)(?P<s>{_CAP})")
-_CUES = set("regards contact sender by to ask reach with laut gruß llame a appeler d’appeler employee von an bei from for dear hi hello hallo bonjour cc attn thanks cheers sincerely greetings grüße best saludos cordialement merci wishes and et und y e de".split())
-_INTRODUCED = re.compile(rf"(?:Regards,|[Bb]est wishes,?\s|Contact:|Sender:|Gruß|[Ss]poke to|filled in by|[Aa]greed with|lost by|Laut|Llame a|appeler|[Nn]ew employee|forwarded by|can reach)\s*(?P<n>{_CAP}\s(?:(?:{PARTICLES})\s)*{_CAP})(?=[\s,.(<]|$)")
-_THINGS_NEAR = re.compile(r"plug-?ins?\b|\bmodules?\b|\btemplates?\b|product names?", re.I)
+#: Signs without which a text can hold nothing of a kind; looked for in lower case before the patterns are.
+_ID_SIGNS = "ssn|security|ni n|nino|insurance|cpf|dni|nie|nif|nir|pesel|bsn|pass|ausweis|card|tax|tin|steuer|sozial|curit|pasaporte".split("|")
+_WAY_SIGNS = (
+    "street|st.|road|rd|lane|ln|avenue|ave|way|hill|cres|close|drive|court|ct|place|square|sq|terrace|boulevard|blvd|row|mews|gardens|grove|parkway|"
+    "stra|str.|weg|allee|platz|gasse|ring|ufer|damm|chaussee|rue|chemin|allée|impasse|quai|cours|route|calle|avda|avenida|plaza|paseo|camino|carrera|ronda|rua|travessa|via|viale|ulica|ul."
+).split("|")
+_DIGIT = re.compile(r"\d")
+_AT = re.compile(r"\bat\b|[\[({<]at[\])}>]")
 
 
 @dataclass(frozen=True)
@@ -151,66 +123,40 @@ def _counts_things(before: str) -> bool:
     return bool(words) and words[-1].lower() in THINGS
 
 
-def _same_case(given: str, surname: str) -> bool:
-    if given.isupper():
-        return surname.isupper()
-    if given[0].isupper():
-        return surname[0].isupper()
-    return surname.islower() and len(surname) > 3 and surname not in STARTERS and surname not in THINGS and surname not in NO_PERSON
-
-
-def detect(text: str) -> list[Item]:
+def detect(text: str, lexicon: Lexicon = names.NONE) -> list[Item]:
     """The items of a text in their order, not overlapping. Empty for null and blank texts."""
     found: list[Item] = []
     if not text or not text.strip():
         return found
-    left = text
+    left, low = text, text.lower()
 
     def take(start: int, end: int, kind: str, gender: str = "") -> None:
         nonlocal left
         found.append(Item(start, end, kind, gender))
         left = left[:start] + "\0" * (end - start) + left[end:]
 
-    if "@" in text or "＠" in text or re.search(r"\bat\b|[\[({<]at[\])}>]", text, re.I):
+    if "@" in text or "＠" in text or ("at" in low and _AT.search(low)):
         for m in EMAIL.finditer(left):
             take(m.start(), m.end(), "email")
-    if any(c.isdigit() for c in text):
-        for m in ID.finditer(left):
-            take(m.start("v"), m.end("v"), "id_number")
-        for pattern, ok in ((CPF, _cpf_ok), (DNI, _dni_ok)):
-            for m in pattern.finditer(left):
-                if ok(m.group()):
-                    take(m.start(), m.end(), "id_number")
-        for m in ADDRESS.finditer(left):
-            take(m.start(), m.end(), "address")
-        for m in PHONE.finditer(left):
-            digits = sum(c.isdigit() for c in m.group())
-            if 8 <= digits <= 20 and (not _counts_things(left[: m.start()]) or _PHONE_WORD.search(left[: m.start()])):
-                take(m.start(), m.end(), "phone")
-    for m in _GIVEN_LAST.finditer(left):
-        s = m.group("s").split()[-1].lower()
-        if s not in NO_PERSON and s not in STARTERS and s not in _CUES:
-            take(m.start(), m.end(), "name", GIVEN[m.group("g").lower()])
-    for m in _GIVEN_FIRST.finditer(left):
-        g, s = m.group("g"), m.group("s")
-        if s and _same_case(g, s) and s.lower() not in STARTERS and s.lower() not in NO_PERSON:
-            take(m.start(), m.end(), "name", GIVEN[g.lower()])
-        elif s and s.lower() in NO_PERSON and g[0].isupper():
-            continue
-        elif g[0].isupper() and not g[1:2].isupper():
-            take(m.start("g"), m.end("g"), "name", GIVEN[g.lower()])
-    for m in _TITLE.finditer(left):
-        sentence = re.split(r"[!?\n]|\.\s", left[m.end() :], maxsplit=1)[0]
-        if m.group("t")[0].isupper() and not _THINGS_NEAR.search(sentence) and m.group("s").split()[-1].lower() not in NO_PERSON:
-            take(m.start(), m.end(), "name", TITLES[m.group("t").lower()])
-    for m in _INITIAL.finditer(left):
-        cue, s = m.group("cue"), m.group("s")
-        if s.lower() not in STARTERS and s.lower() not in NO_PERSON and (cue is None or not cue[-1].isalpha() or cue.lower() in _CUES):
-            take(m.start("i"), m.end(), "name", "n")
-    for m in _INTRODUCED.finditer(left):
-        words = m.group("n").split()
-        if words[-1].lower() not in NO_PERSON and words[0].lower() not in STARTERS:
-            take(m.start("n"), m.end("n"), "name", "n")
+    digits = len(_DIGIT.findall(text))
+    if digits:
+        if digits > 1 and any(x in low for x in _ID_SIGNS):
+            for m in ID.finditer(left):
+                take(m.start("v"), m.end("v"), "id_number")
+        if digits >= 8:
+            for pattern, ok in ((CPF, _cpf_ok), (DNI, _dni_ok)):
+                for m in pattern.finditer(left):
+                    if ok(m.group()):
+                        take(m.start(), m.end(), "id_number")
+        if any(x in low for x in _WAY_SIGNS):
+            for m in ADDRESS.finditer(left):
+                take(m.start(), m.end(), "address")
+        if digits >= 8:
+            for m in PHONE.finditer(left):
+                n = sum(c.isdigit() for c in m.group())
+                if 8 <= n <= 20 and (not _counts_things(left[: m.start()]) or _PHONE_WORD.search(left[: m.start()])):
+                    take(m.start(), m.end(), "phone")
+    found += [Item(start, end, "name", gender) for start, end, gender, _, _ in names.persons(left, THINGS, lexicon)]
     return sorted(found, key=lambda x: x.start)
 
 
@@ -231,8 +177,7 @@ def canonical(kind: str, text: str) -> str:
         if "," in t:
             last, _, first = t.partition(",")
             t = f"{first.strip()} {last.strip()}"
-        words = [w for w in re.findall(r"[^\W\d_][\w’'-]*", t) if w not in TITLES and len(w) > 1]
-        return " ".join(words)
+        return " ".join(w for w in _NAME_WORD.findall(t) if w not in TITLES and (len(w) > 1 or _no_case(w)))
     return re.sub(r"\W+", " ", t).strip()
 
 
@@ -247,7 +192,31 @@ def placeholder(key: bytes, item: Item, text: str) -> str:
     return f"[{label}_{item.gender.upper() or 'N'}_{code}]" if item.kind == "name" else f"[{label}_{code}]"
 
 
-_FIRST = {g: [n for n, x in GIVEN.items() if x in (g, "n") and n.isascii()] for g in "mf"} | {"n": [n for n in GIVEN if n.isascii()], "": list(GIVEN)}
+_FIRST = {g: [n for n, x in GIVEN.items() if x in (g, "n") and n.isascii()] for g in "mf"} | {"n": [n for n in GIVEN if n.isascii()]}
+_NAME_WORD = re.compile(r"[^\W\d_](?:[\w’'-]*\w)?")
+
+
+def parts(item: Item, text: str, lexicon: Lexicon = names.NONE) -> list[tuple[int, int, str, str]]:
+    """(begin, end, entity, gender) of what is replaced on its own: the words of a name, all of anything else.
+
+    Titles, particles and initials tell no person; an initial is replaced with the word behind it. Only given names have a gender.
+    """
+    own = text[item.start : item.end]
+    if item.kind != "name":
+        return [(item.start, item.end, canonical(item.kind, own), "")]
+    out = []
+    for m in _NAME_WORD.finditer(own):
+        low = unicodedata.normalize("NFKC", m.group()).casefold()
+        if low not in TITLES and not (low in _PARTICLE_WORDS and m.group().islower()) and (len(low) > 1 or _no_case(low)):
+            out.append((item.start + m.start(), item.start + m.end(), low, lexicon.look(low)[0] or ""))
+    return out
+
+
+def _no_case(c: str) -> bool:
+    return c.upper() == c.lower()
+
+
+_PARTICLE_WORDS = set(PARTICLES.split("|"))
 
 
 def _like(sample: str, word: str) -> str:
@@ -312,49 +281,50 @@ def surrogate(key: bytes, item: Item, text: str, turn: int = 0) -> str:
                 c = _like(c, _syllables(d, 3, c)) + (tail.group() if tail else "")
             out.append(c)
         return "".join(out)
-    names, initial = _FIRST[item.gender or "n"], chr(65 + (bits >> 240) % 26)
-    bits, d = divmod(bits, len(names))
-    bits, made_up = divmod(bits, 1 << 28)
-    words, out, given_done = re.findall(r"[^\W\d_][\w’'-]*|\W+", text), [], False
-    for w in words:
-        low = w.lower()
-        if not w[0].isalpha() or low in TITLES or re.fullmatch(PARTICLES, low):
-            out.append(w)
-        elif low in GIVEN and not given_done:  # the list is short: who collides gets a made-up name with an ending of the gender
-            out.append(_like(w, names[d] if not turn else _syllables(made_up, 3 + wider) + {"f": "na", "m": "rd"}.get(item.gender, "l")))
-            given_done = True
-        elif len(w) == 1:  # left out of what tells a person, so it takes no bits from the other words
-            out.append(initial)
-        else:
-            bits, x = divmod(bits, 1 << (28 + 7 * wider))
-            out.append(_like(w, _syllables(x, 4 + wider, w)))
-    return "".join(out)
+    if item.gender and not turn and "LATIN" in unicodedata.name(text[0], ""):  # the list is short: who collides gets a made-up name
+        first = _FIRST[item.gender]
+        return _like(text, first[bits % len(first)])
+    return _like(text, _syllables(bits, 4 + wider, text) + ({"f": "na", "m": "rd"}.get(item.gender, "") if text[0].isascii() else ""))
 
 
 class Redactor:
-    def __init__(self, key: bytes, how: str = "placeholder"):
-        self.key, self.how = key, how
+    def __init__(self, key: bytes, how: str = "placeholder", lexicon: Lexicon | None = None):
+        self.key, self.how, self.lexicon = key, how, lexicon or names.NONE
         self.memo: dict[str, list[Item]] = {}
 
     def items(self, text: str) -> list[Item]:
         hit = self.memo.get(text)
         if hit is None:
-            hit = detect(text)
+            hit = detect(text, self.lexicon)
             if len(text) <= MEMO_LENGTH:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
                 self.memo[text] = hit
         return hit
 
-    def redact(self, text: str, drawn: dict[tuple[str, str], int] | None = None) -> str:
-        """``drawn``: the turns of the text's entities; those that aren't there have the first."""
+    def parts(self, text: str) -> list[tuple[str, int, int, str, str]]:
+        """(kind, begin, end, entity, gender) of what surrogates replace."""
+        return [(x.kind, *p) for x in self.items(text) for p in parts(x, text, self.lexicon)]
+
+    def replacements(self, text: str, drawn: dict[tuple[str, str], int] | None = None) -> list[tuple[str, int, int, str]]:
+        """(kind, begin, end, replacement) of the items. ``drawn``: the turns of the text's entities, 0 for all others."""
+        if self.how == "placeholder":
+            return [(x.kind, x.start, x.end, placeholder(self.key, x, text[x.start : x.end])) for x in self.items(text)]
         drawn = drawn or {}
-        out, at = [], 0
+        out = [(k, a, b, surrogate(self.key, Item(0, b - a, k, g), text[a:b], drawn.get((k, e), 0))) for k, a, b, e, g in self.parts(text)]
         for x in self.items(text):
-            part = text[x.start : x.end]
-            new = placeholder(self.key, x, part) if self.how == "placeholder" else surrogate(self.key, x, part, drawn.get((x.kind, canonical(x.kind, part)), 0))
-            out += [text[at : x.start], new]
-            at = x.end
+            if x.kind == "name":  # initials take the letter of the word behind them, so that they go on fitting it
+                for m in re.finditer(r"(?<!\w)[^\W\d_](?=\.)", text[x.start : x.end]):
+                    at = x.start + m.start()
+                    near = next((r for _, a, _, r in out if a > at), None) or next((r for _, a, b, r in reversed(out) if x.start <= a < at), "X")
+                    out.append(("name", at, at + 1, near[0].upper()))
+        return sorted(out, key=lambda x: x[1])
+
+    def redact(self, text: str, drawn: dict[tuple[str, str], int] | None = None) -> str:
+        out, at = [], 0
+        for _, start, end, new in self.replacements(text, drawn):
+            out += [text[at:start], new]
+            at = end
         return "".join([*out, text[at:]])
 
 
@@ -367,21 +337,23 @@ def texts_of(tickets: DataFrame, key: str = "seq") -> DataFrame:
     return base.select(key, F.inline(cells))
 
 
-def found(tickets: DataFrame, key: str = "seq") -> DataFrame:
-    """(seq, field, pos, kind): a row for each kind of item a text holds. One pass, no shuffle."""
-    kind = tickets.schema[key].dataType.simpleString()
+def lexicon_of(tickets: DataFrame, key: str = "seq") -> tuple:
+    """The learned names of the texts, as a broadcast of their filters' bits."""
+    learned = names.learn(texts_of(tickets, key).select("text"), THINGS)
+    return tickets.sparkSession.sparkContext.broadcast((learned.given.table, learned.surnames.table))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Redactor(b"")
-        for pdf in batches:
-            rows = [(k, f, p, x) for k, f, p, t in zip(pdf["k"], pdf["field"], pdf["pos"], pdf["text"], strict=True) for x in sorted({i.kind for i in r.items(t)})]
-            yield pd.DataFrame(rows, columns=["k", "field", "pos", "kind"])
 
-    return texts_of(tickets, key).withColumnRenamed(key, "k").mapInPandas(run, f"k {kind}, field string, pos int, kind string").withColumnRenamed("k", key)
+def _lexicon(shared) -> Lexicon:
+    return Lexicon(*map(Bits, shared.value))
+
+
+def found(tickets: DataFrame, key: str = "seq") -> DataFrame:
+    """(seq, field, pos, kind): a row for each kind of item that is replaced in a text. One pass to learn names, one to replace; no shuffle of texts."""
+    return redacted(tickets, "", key).select(key, "field", "pos", F.explode("kinds").alias("kind"))
 
 
 def redacted(tickets: DataFrame, secret: str, key: str = "seq", how: str = "placeholder") -> DataFrame:
-    """(seq, field, pos, redacted): every non-blank text with its items replaced, unchanged where it has none.
+    """(seq, field, pos, redacted, kinds): every non-blank text with its items replaced, unchanged where it has none; which kinds they are.
 
     Surrogates are those of ``surrogate_table``: a text is joined, by its hash, with the turns of its entities; only
     entities that didn't keep their first draw take part.
@@ -389,34 +361,41 @@ def redacted(tickets: DataFrame, secret: str, key: str = "seq", how: str = "plac
     if how not in ("placeholder", "surrogate"):
         raise ValueError("how is placeholder or surrogate")
     kind = tickets.schema[key].dataType.simpleString()
-    texts = texts_of(tickets, key).withColumnRenamed(key, "k")
+    texts, shared = texts_of(tickets, key).withColumnRenamed(key, "k"), lexicon_of(tickets, key)
     if how == "placeholder":
         texts = texts.withColumn("turns", F.lit(None).cast("array<struct<kind:string,entity:string,turn:int>>"))
     else:
-        again = _drawn(tickets, secret, key).where("turn > 0").select("kind", "entity", "turn").distinct()
+        again = _drawn(tickets, secret, key, shared=shared).where("turn > 0").select("kind", "entity", "turn").distinct()
         texts = texts.withColumn("_h", F.sha2("text", 256))
-        held = texts.select("_h", "text").dropDuplicates(["_h"]).mapInPandas(_entities_of, "h string, kind string, entity string")
+        held = texts.select("_h", "text").dropDuplicates(["_h"]).mapInPandas(_entities_of(shared), "h string, kind string, entity string")
         turns = held.join(again, ["kind", "entity"]).groupBy("h").agg(F.collect_list(F.struct("kind", "entity", "turn")).alias("turns"))
         texts = texts.join(turns, texts["_h"] == turns["h"], "left").select("k", "field", "pos", "text", "turns")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Redactor(secret.encode(), how)
+        r = Redactor(secret.encode(), how, _lexicon(shared))
         for pdf in batches:
-            drawn = [None if x is None else {(y["kind"], y["entity"]): y["turn"] for y in x} for x in pdf["turns"]]
-            yield pd.DataFrame({"k": pdf["k"], "field": pdf["field"], "pos": pdf["pos"], "redacted": [r.redact(t, d) for t, d in zip(pdf["text"], drawn, strict=True)]})
+            new, kinds = [], []
+            for t, x in zip(pdf["text"], pdf["turns"], strict=True):
+                drawn = None if x is None else {(y["kind"], y["entity"]): y["turn"] for y in x}
+                new.append(r.redact(t, drawn))
+                kinds.append(sorted({i.kind for i in r.items(t)}))
+            yield pd.DataFrame({"k": pdf["k"], "field": pdf["field"], "pos": pdf["pos"], "redacted": new, "kinds": kinds})
 
-    return texts.mapInPandas(run, f"k {kind}, field string, pos int, redacted string").withColumnRenamed("k", key)
+    return texts.mapInPandas(run, f"k {kind}, field string, pos int, redacted string, kinds array<string>").withColumnRenamed("k", key)
 
 
-def _entities_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    r = Redactor(b"")
-    for pdf in batches:
-        rows = [(h, *e) for h, t in zip(pdf["_h"], pdf["text"], strict=True) for e in sorted({(x.kind, canonical(x.kind, t[x.start : x.end])) for x in r.items(t)})]
-        yield pd.DataFrame(rows, columns=["h", "kind", "entity"])
+def _entities_of(shared) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = Redactor(b"", lexicon=_lexicon(shared))
+        for pdf in batches:
+            rows = [(h, *e) for h, t in zip(pdf["_h"], pdf["text"], strict=True) for e in sorted({(k, e) for k, _, _, e, _ in r.parts(t)})]
+            yield pd.DataFrame(rows, columns=["h", "kind", "entity"])
+
+    return run
 
 
 def surrogate_table(tickets: DataFrame, secret: str, key: str = "seq", turns: int = 16) -> DataFrame:
-    """(kind, entity, surrogate, turn): one row for each entity of the corpus, surrogates distinct within a kind.
+    """(kind, entity, surrogate, turn): one row for each entity of the corpus (of names: for each word), surrogates distinct within a kind.
 
     The surrogate is that of the first way of writing the entity; others differ in format only.
     """
@@ -424,17 +403,19 @@ def surrogate_table(tickets: DataFrame, secret: str, key: str = "seq", turns: in
     return _drawn(tickets, secret, key, turns).groupBy("kind", "entity").agg(first).select("kind", "entity", "x.surrogate", "x.turn")
 
 
-def _drawn(tickets: DataFrame, secret: str, key: str, turns: int = 16) -> DataFrame:
+def _drawn(tickets: DataFrame, secret: str, key: str, turns: int = 16, shared=None) -> DataFrame:
     """(kind, entity, sample, gender, surrogate, same, turn): one row for each way of writing each entity.
 
     Ways of writing are deduplicated before any drawing. Entities of which any surrogate is the same, however it is
     written, as one of another entity draw again, all but the first of them, until none collides.
     """
 
+    shared = shared or lexicon_of(tickets, key)
+
     def entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Redactor(b"")
+        r = Redactor(b"", lexicon=_lexicon(shared))
         for pdf in batches:
-            rows = {(x.kind, canonical(x.kind, t[x.start : x.end]), t[x.start : x.end], x.gender) for t in pdf["text"] for x in r.items(t)}
+            rows = {(k, e, t[a:b], g) for t in pdf["text"] for k, a, b, e, g in r.parts(t)}
             yield pd.DataFrame(sorted(rows), columns=["kind", "entity", "sample", "gender"])
 
     def drawn(turn: int):

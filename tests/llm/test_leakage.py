@@ -70,8 +70,7 @@ def test_slots_decide(spark):
 def test_without_templates_nothing_is_asked_again(spark):
     a, b = FRAME.format(1, "Anna", 22, "red", 5, 7, 9, "Bert", 1), FRAME.format(8, "Anna", 31, "red", 6, 3, 2, "Bert", 8)
     assert leaks(spark, [(1, a)], [b], leakage.AGAIN) == [[1]]
-    plain = leakage.Bits(np.zeros(leakage.LEAST_BITS // 8, dtype=np.uint8))
-    forms = leakage.Templates(plain)
+    forms = leakage.Templates(leakage.Bits())
     numbers = [np.array([leakage.word_hash(w) & ~3 for w in t.split()], dtype=np.uint64) for t in (a, b)]
     assert len(np.intersect1d(*map(leakage.windows, numbers))) < leakage.LEAST_WINDOWS <= len(np.intersect1d(*[leakage.windows(forms.numbers(t.split())) for t in (a, b)]))
 
