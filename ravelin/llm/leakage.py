@@ -161,6 +161,7 @@ _TITLE, _LOWER = 1, 2
 
 
 _SLOT = {c: word_hash(c) & ~3 for c in ("#n", "#u", "#p")}
+_SLOT_NUMBERS = set(_SLOT.values())
 
 
 class Templates(dict):
@@ -256,22 +257,47 @@ def replaced(item: list[str], part: list[str], slots: list[tuple[int, int]]) ->
     return wrong
 
 
-def judge(item: list[str], part: list[str], forms: Templates, own: set[str]) -> str | None:
-    """``copy``, ``reparameterised`` or None. ``own``: words that are names in the document (case folded)."""
+def straight(item: np.ndarray, part: np.ndarray, diagonals: list[int]) -> tuple[int, int, int] | None:
+    """(begin, length, diagonal) of a long enough stretch whose changed words are replaced one for one, the usual kind."""
+    for d in diagonals:
+        lo, hi = max(0, -d), min(len(item), len(part) - d)
+        if hi - lo < MIN_WORDS:
+            continue
+        other = np.concatenate([[0], np.cumsum(item[lo:hi] != part[lo + d : hi + d])])
+        for n, most in _STEPS:
+            if n <= hi - lo:
+                edits = other[n:] - other[:-n]
+                at = int(edits.argmin())
+                if edits[at] <= most:
+                    return lo + at, n, d
+    return None
+
+
+#: The lengths at which a leak may have one more change.
+_STEPS = [next((n, e) for n, e in _LEAKS if e == most) for most in sorted({e for _, e in _LEAKS})]
+
+
+def judge(item: list[str], part: list[str], forms: Templates, own: set[str], copied: bool) -> str | None:
+    """``copy``, ``reparameterised`` or None, by alignment. ``own``: words that are names in the document (case folded); ``copied``: whether it can be a copy."""
+    if copied and _holds(item, part)[0]:
+        return COPY
     a = list(map(forms.form, item))
     shapes = [list(map(forms.form, part))]
     if not own.isdisjoint(part):
         shapes.append(["#p" if w in own else x for w, x in zip(part, shapes[0], strict=True)])
-    for i, b in enumerate(shapes):
+    for b in shapes:
         holds, pairs, covered = _holds(a, b)
-        if i == 0 and holds and _holds(item, part)[0]:  # what agrees word by word agrees as a template
-            return COPY
         slots = [(i, j) for i, j in pairs if a[i].startswith("#")]
-        if holds and (wrong := replaced(item, part, slots)) is not None and covered - len(pairs) + wrong <= MAX_CHANGED * covered:
+        if holds and _again(item, part, slots, covered, len(pairs)):
             return AGAIN
     return None
 
 
+def _again(item: list[str], part: list[str], slots: list[tuple[int, int]], covered: int, kept: int) -> bool:
+    wrong = replaced(item, part, slots)
+    return wrong is not None and covered - kept + wrong <= MAX_CHANGED * covered
+
+
 def likely(item: np.ndarray, part: np.ndarray, diagonals: list[int]) -> bool:
     """Whether enough of some MIN_WORDS words in a row stand near one of the diagonals, as in any leak: it has no more edits than MOST_EDITS."""
     n = len(item)
@@ -289,22 +315,34 @@ def likely(item: np.ndarray, part: np.ndarray, diagonals: list[int]) -> bool:
     return False
 
 
+class _Hashes(dict):
+    def __missing__(self, w: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        n = self[w] = word_hash(w)
+        return n
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 class _Read:
     """Words and numbers of items and of the document at hand; rows of a document come one after the other."""
 
     def __init__(self, forms: Templates):
-        self.forms, self.id, self.parts, self.passages = forms, None, [], {}
+        self.forms, self.plain, self.id, self.parts, self.passages = forms, _Hashes(), None, [], {}
 
-    def item(self, no: int, passage: str) -> tuple[list[str], np.ndarray]:
+    def item(self, no: int, passage: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(words, their numbers, numbers of their template forms)."""
         hit = self.passages.get(no)
         if hit is None:
             if len(self.passages) > 20_000:
                 self.passages.clear()
             words = [w.casefold() for w in words_of(passage)]
-            hit = self.passages[no] = words, self.forms.numbers(words) & ~np.uint64(3)
+            hit = self.passages[no] = words, self.plain.of(words), self.forms.numbers(words) & ~np.uint64(3)
         return hit
 
-    def document(self, id: int, starts, parts, own: set[str]) -> list[tuple[int, list[str], list[np.ndarray]]]:
+    def document(self, id: int, starts, parts, own: set[str]) -> list[tuple[int, list[str], np.ndarray, list[np.ndarray]]]:
         if id != self.id:
             self.id, self.parts = id, []
             for start, text in zip(starts, parts, strict=True):
@@ -312,20 +350,30 @@ class _Read:
                 shapes = [self.forms.numbers(words) & ~np.uint64(3)]
                 if not own.isdisjoint(words):
                     shapes.append(np.where([w in own for w in words], np.uint64(_SLOT["#p"]), shapes[0]))
-                self.parts.append((start, words, shapes))
+                self.parts.append((start, words, self.plain.of(words), shapes))
         return self.parts
 
 
-def _judged(item: tuple[list[str], np.ndarray], parts: list[tuple[int, list[str], list[np.ndarray]]], p: np.ndarray, k: np.ndarray, forms: Templates, own: set[str]) -> str | None:
-    best = None
-    for start, words, shapes in parts:
+def _judged(item: tuple[list[str], np.ndarray, np.ndarray], parts: list[tuple[int, list[str], np.ndarray, list[np.ndarray]]], p: np.ndarray, k: np.ndarray, forms: Templates, own: set[str]) -> str | None:
+    best, (asked, plain, shape) = None, item
+    for start, words, numbers, shapes in parts:
         inside = (p >= start) & (p < start + len(words))
         diagonals = np.unique(p[inside] - start - k[inside]).tolist()
-        if not any(likely(item[1], x, diagonals) for x in shapes):
+        some = [x for x in shapes if likely(shape, x, diagonals)]
+        if not some:
+            continue
+        copied = likely(plain, numbers, diagonals)
+        if copied and straight(plain, numbers, diagonals):
+            return COPY
+        if not copied and (at := straight(shape, some[0], diagonals)):  # no copy: the slots decide
+            i, n, d = at
+            same = np.nonzero(shape[i : i + n] == some[0][i + d : i + d + n])[0] + i
+            slots = [(x, x + d) for x in same.tolist() if int(shape[x]) in _SLOT_NUMBERS]
+            best = best or (AGAIN if _again(asked, words, slots, n, len(same)) else None)
             continue
         for lo, hi in regions(np.unique(p[inside]) - start, len(words)):
             for x in range(lo, hi, 3 * REACH):  # long regions piece by piece, the pieces overlapping by more than a leak
-                kind = judge(item[0], words[x : min(hi, x + 5 * REACH)], forms, own)
+                kind = judge(asked, words[x : min(hi, x + 5 * REACH)], forms, own, copied)
                 if kind == COPY:
                     return COPY
                 best = best or kind

@@ -13,6 +13,7 @@ They are kept in Bloom filters, whose size is bounded whatever the corpus holds.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -64,6 +65,8 @@ _LABELS = set("contact sender caller requester reporter author attn ansprechpart
 _GREETED = set("dear hi hello hallo bonjour hola olá liebe lieber greetings ciao caro cara".split())
 _TOLD = re.compile(r"\b(?:spoke|talked|speak|talk|agreed|filled in|signed|lost|forwarded|written|sent|reported|approved|confirmed|taken|handled|answered|met|can|could) (?:to|with|by|up by|over by|reach)\s$", re.I)
 _ALONE = re.compile(r"(?:\b(?:laut|llame a|appeler|new employee|neuer mitarbeiter|neue mitarbeiterin|nouvel employé|nuevo empleado)|\bd’appeler)\s$", re.I)
+#: Words that one of the introductions ends in.
+_LAST = _SIGNED | _LABELS | _GREETED | set("to with by over reach laut a appeler d’appeler employee mitarbeiter mitarbeiterin employé empleado".split())
 _THINGS_NEAR = re.compile(r"plug-?ins?\b|\bmodules?\b|\btemplates?\b|product names?", re.I)
 #: Honorifics behind names that are written without spaces, and ends of words for groups of people.
 _HONOURED = re.compile(r"(?P<n>[一-鿿々]{2,4})(?=さん|様|さま|氏|先生|女士|小姐|くん)")
@@ -138,9 +141,10 @@ def persons(text: str, things: set[str], lexicon: Lexicon = NONE) -> Iterator[tu
     def free(i: int, j: int) -> bool:
         return not any(taken[i : j + 1])
 
-    for i, m in enumerate(toks):  # Surname, Given
-        g = i + 1
-        if g < len(toks) and known[g][0] is not None and _cap(m.group()) and len(m.group()) > 1 and re.fullmatch(r",\s+", text[m.end() : toks[g].start()]) and not _no_name(low[i]) and low[i] not in _BEFORE_INITIAL and low[i] not in _GREETED and low[i] not in _SIGNED:
+    givens = [i for i, k in enumerate(known) if k[0] is not None]
+    for g in givens:  # Surname, Given
+        i, m = g - 1, toks[g - 1]
+        if g and _cap(m.group()) and len(m.group()) > 1 and re.fullmatch(r",\s+", text[m.end() : toks[g].start()]) and not _no_name(low[i]) and low[i] not in _BEFORE_INITIAL and low[i] not in _GREETED and low[i] not in _SIGNED:
             first, end = i, toks[g].end()
             while first and low[first - 1] in _PARTICLES and text[toks[first - 1].end() : toks[first].start()].isspace():
                 first -= 1
@@ -148,8 +152,9 @@ def persons(text: str, things: set[str], lexicon: Lexicon = NONE) -> Iterator[tu
                 end, g = toks[g + 1].end() + 1, g + 1
             if free(first, g):
                 yield found(first, g, known[i + 1][0], low[i + 1], low[i], end)
-    for i, m in enumerate(toks):  # Given Surname, Given alone
-        if taken[i] or known[i][0] is None or (m.start() and text[m.start() - 1] in "@.-_’'") or text[m.end() : m.end() + 1] in ("’", "'", "-", "@") and text[m.end() : m.end() + 2] != "’s":
+    for i in givens:  # Given Surname, Given alone
+        m = toks[i]
+        if taken[i] or (m.start() and text[m.start() - 1] in "@.-_’'") or text[m.end() : m.end() + 1] in ("’", "'", "-", "@") and text[m.end() : m.end() + 2] != "’s":
             continue
         w, gender, j = m.group(), known[i][0], i
         if i + 1 < len(toks) and len(low[i + 1]) == 1 and text[m.end() : toks[i + 1].start()].isspace() and text[toks[i + 1].end() : toks[i + 1].end() + 1] == ".":
@@ -165,8 +170,8 @@ def persons(text: str, things: set[str], lexicon: Lexicon = NONE) -> Iterator[tu
             continue
         elif _cap(w) and not w[1:2].isupper():
             yield found(i, i, gender, low[i], None)
-    for i, m in enumerate(toks):  # Title Surname, Title Given Surname
-        if low[i] in TITLES and _cap(m.group()) and not taken[i]:
+    for i in [i for i, w in enumerate(low) if w in TITLES]:  # Title Surname, Title Given Surname
+        if _cap(toks[i].group()) and not taken[i]:
             j = i
             while j + 1 < len(toks) and re.fullmatch(r"\.?\s+", text[toks[j].end() : toks[j + 1].start()]) and (low[j + 1] in _PARTICLES or low[j + 1] in ("dr", "prof")):
                 j += 1
@@ -187,7 +192,15 @@ def persons(text: str, things: set[str], lexicon: Lexicon = NONE) -> Iterator[tu
                 cue = gap.strip()[-1:] in tuple(".!?:,;(<-") if gap.strip() else i == 0 or "\n" in gap or low[i - 1] in _BEFORE_INITIAL
                 if cue and _cap(toks[j].group()) and len(low[j]) > 1 and not _no_name(low[j]) and free(i, j):
                     yield found(i, j, "n", None, low[j])
-    for i, m in enumerate(toks):  # introduced, or a pair of which the second is a learned surname
+    told_at = {i + 1 for i, w in enumerate(low[:-1]) if w in _LAST}
+    for s, k in enumerate(known):
+        if k[1]:
+            first = s - 1
+            while first > 0 and low[first] in _PARTICLES:
+                first -= 1
+            told_at.add(first)
+    for i in sorted(told_at - {-1}):  # introduced, or a pair of which the second is a learned surname
+        m = toks[i]
         if taken[i] or not _cap(m.group()) or _no_name(low[i]) or len(low[i]) == 1:
             continue
         gap = text[toks[i - 1].end() : m.start()] if i else ""
@@ -220,16 +233,15 @@ def learn(texts: DataFrame, things: set[str]) -> Lexicon:
             return out
 
         for pdf in batches:
-            for text in pdf["text"]:
-                for m in _TOKEN.finditer(text):
-                    w = m.group()
+            for text, times in Counter(pdf["text"]).items():  # equal texts of a batch are read once
+                for w in _TOKEN.findall(text):
                     if w[0].isupper():
-                        seen.setdefault(w.lower(), [0, 0, 0])[2] += 1
+                        seen.setdefault(w.lower(), [0, 0, 0])[2] += times
                 for _, _, _, given, surname in persons(text, things):
                     if given is not None and surname is not None and given != surname:
-                        seen.setdefault(given, [0, 0, 0])[0] += 1
+                        seen.setdefault(given, [0, 0, 0])[0] += times
                     if surname is not None:
-                        seen.setdefault(surname, [0, 0, 0])[1] += 1
+                        seen.setdefault(surname, [0, 0, 0])[1] += times
             if len(seen) > MOST_WORDS:
                 yield rows()
         yield rows()

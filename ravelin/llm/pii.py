@@ -321,6 +321,8 @@ class Redactor:
         return sorted(out, key=lambda x: x[1])
 
     def redact(self, text: str, drawn: dict[tuple[str, str], int] | None = None) -> str:
+        if not self.items(text):
+            return text
         out, at = [], 0
         for _, start, end, new in self.replacements(text, drawn):
             out += [text[at:start], new]
