@@ -2,19 +2,49 @@
 
 This is the index's notion of a date, whose order is that of the text. For instants, with zones, see
 ``ravelin.operators.timestamps``.
+
+The spellings are a table: the order of year, month and day, what stands between them, what leads over to a time, and
+what may follow it. Patterns are made from it, and the same ones serve Python (ingest) and columns (queries).
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,]\d+)?\s*(?:Z|[+-]\d{2}:?\d{2}|UTC)?)?$"
-_US = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?:[ T,]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?)?$"
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: Seconds have 9 digits at least, milliseconds 13.
+_UNIX = re.compile(r"[0-9]{9,13}")
+_MILLIS = 13
+#: Two-digit years from here on are of the last century.
+CENTURY = 70
+
+
+@dataclass(frozen=True)
+class Spelling:
+    """``order``: Y is a year of four digits, y one of four or two. ``tail`` has one group: the half of the day."""
+
+    order: str
+    between: str
+    lead: str
+    tail: str
+
+    @property
+    def pattern(self) -> str:
+        digits = {"Y": r"(\d{4})", "y": r"(\d{4}|\d{2})", "M": r"(\d{1,2})", "D": r"(\d{1,2})"}
+        clock = rf"(?:{self.lead}(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?{self.tail})?"
+        return f"^{self.between.join(digits[x] for x in self.order)}{clock}$"
+
+
+#: The spellings that are read, in this order.
+SPELLINGS = (
+    Spelling("YMD", "[-/]", "[T ]", r"(?:[.,]\d+)?\s*(?:Z|[+-]\d{2}:?\d{2}|UTC)?()"),
+    Spelling("MDy", "/", "[ T,]+", r"\s*([AaPp][Mm])?"),
+)
 
 
 def format_unix(seconds: int) -> str:
@@ -22,44 +52,54 @@ def format_unix(seconds: int) -> str:
 
 
 def parse_unix(text: str) -> int | None:
-    """Seconds of ``YYYY-MM-DD[THH:MM[:SS]][Z]``, None for anything else."""
-    m = re.match(r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?Z?$", text.strip())
-    if not m:
-        return None
-    y, mo, d, h, mi, s = (int(x or 0) for x in m.groups())
+    """Seconds of ``YYYY-MM-DD[THH:MM[:SS]][Z]``, None for anything else. Days and clocks beyond their end run on."""
+    day, _, clock = text.strip().removesuffix("Z").replace(" ", "T", 1).partition("T")
     try:
+        y, mo, d = (int(x) for x in (day[:4], day[5:7], day[8:]))
+        parts = [int(x) for x in clock.split(":")] if clock else [0, 0]
         start = datetime(y, mo, 1, tzinfo=timezone.utc)
     except ValueError:
         return None
-    return int((start - _EPOCH).total_seconds()) + (d - 1) * 86_400 + h * 3600 + mi * 60 + s
+    if not re.fullmatch(r"\d{4}-\d\d-\d\d", day) or len(parts) not in (2, 3) or any(len(x) != 2 for x in clock.split(":") if clock):
+        return None
+    h, mi, s = (*parts, 0)[:3]
+    return int((start + timedelta(days=d - 1, hours=h, minutes=mi, seconds=s) - _EPOCH).total_seconds())
 
 
-def _form(y: int, mo: int, d: int, h: int | None, mi: int | None, s: int | None) -> str | None:
-    if not (1 <= mo <= 12 and 1 <= d <= 31 and y >= 1000):
+def _sortable(part: dict[str, str]) -> str | None:
+    year = int(part["Y"])
+    if len(part["Y"]) == 2:
+        year += 2000 if year < CENTURY else 1900
+    month, day = int(part["M"]), int(part["D"])
+    if year < 1000 or month not in range(1, 13) or day not in range(1, 32):
         return None
-    day = f"{y:04}-{mo:02}-{d:02}"
-    return day if h is None or mi is None or h > 23 or mi > 59 else f"{day}T{h:02}:{mi:02}:{min(s or 0, 59):02}"
+    out = f"{year}-{month:02}-{day:02}"
+    if not part["h"]:
+        return out
+    hour, minute, second = int(part["h"]), int(part["m"]), min(int(part["s"] or 0), 59)
+    if part["half"]:
+        hour = hour % 12 + 12 * (part["half"].lower() == "pm")
+    return out if hour > 23 or minute > 59 else f"{out}T{hour:02}:{minute:02}:{second:02}"
+
+
+_COMPILED = [(re.compile(x.pattern), [*x.order.upper(), "h", "m", "s", "half"]) for x in SPELLINGS]
 
 
 def normalize_date(raw: str) -> str | None:
     text = raw.strip()
-    if m := re.match(_ISO, text):
-        return _form(*(int(x) if x else None for x in m.groups()))
-    if m := re.match(_US, text):
-        mo, d, y, h, mi, s = (int(x) if x else None for x in m.groups()[:6])
-        y = y if y >= 100 else y + (2000 if y < 70 else 1900)
-        if h is not None and m.group(7):
-            h = h % 12 + (12 if m.group(7).lower() == "pm" else 0)
-        return _form(y, mo, d, h, mi, s)
-    if re.match(r"^[0-9]{9,13}$", text):
-        return format_unix(int(text) // 1000 if len(text) == 13 else int(text))[:-1]
+    if _UNIX.fullmatch(text):
+        return format_unix(int(text) // (1000 if len(text) == _MILLIS else 1))[:-1]
+    for pattern, names in _COMPILED:
+        m = pattern.match(text)
+        if m:
+            return _sortable(dict(zip(names, (x or "" for x in m.groups()), strict=True)))
     return None
 
 
 def normalize_bound(raw: str) -> str | None:
     """A bound of a range of dates: a year, a month, or any date."""
     text = raw.strip()
-    if re.match(r"^[0-9]{4}$", text) or re.match(r"^[0-9]{4}-(0[1-9]|1[0-2])$", text):
+    if re.fullmatch(r"[0-9]{4}(-(0[1-9]|1[0-2]))?", text):
         return text
     return normalize_date(text)
 
@@ -70,32 +110,47 @@ def display_date(text: str) -> str:
     return text.removesuffix("T00:00").replace("T", " ", 1)
 
 
+def shown_date(c: Column) -> Column:
+    """``display_date`` of a column."""
+    short = F.when(F.length(c) == 19, F.regexp_replace(c, ":00$", "")).otherwise(c)
+    return F.regexp_replace(F.regexp_replace(short, "T00:00$", ""), "^([^T]*)T", "$1 ")
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def date_column(c: Column) -> Column:
-    """``normalize_date`` of a column, null where it isn't recognised."""
-    t = F.trim(c)
+    """``normalize_date`` of a column, null where it isn't recognised.
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(t, pattern, i)
-
-    def form(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
-        day = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(mo.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-        clock = F.concat(F.lit("T"), F.concat_ws(":", F.lpad(h.cast("string"), 2, "0"), F.lpad(mi.cast("string"), 2, "0"), F.lpad(F.least(F.coalesce(s, F.lit(0)), F.lit(59)).cast("string"), 2, "0")))
-        timed = h.isNotNull() & mi.isNotNull() & (h < 24) & (mi < 60)
-        return F.when(mo.between(1, 12) & d.between(1, 31) & (y >= 1000), F.concat(day, F.when(timed, clock).otherwise(F.lit(""))))
-
-    def num(pattern: str, i: int) -> Column:
-        return part(pattern, i).try_cast("int")
-
-    iso = form(*(num(_ISO, i) for i in range(1, 7)))
-    y = num(_US, 3)
-    y = F.when(y >= 100, y).when(y < 70, y + 2000).otherwise(y + 1900)
-    half, h = F.lower(part(_US, 7)), num(_US, 4)
-    h = F.when(half == "", h).otherwise(h % 12 + F.when(half == "pm", 12).otherwise(0))
-    us = form(y, num(_US, 1), num(_US, 2), h, num(_US, 5), num(_US, 6))
-    n = t.try_cast("bigint")
-    seconds = F.when(F.length(t) == 13, F.floor(n / 1000)).otherwise(n)
-    epoch = F.replace(F.substring(F.timestamp_seconds(seconds).cast("timestamp_ntz").cast("string"), 1, 19), F.lit(" "), F.lit("T"))
-    return F.when(t.rlike(_ISO), iso).when(t.rlike(_US), us).when(t.rlike(r"^[0-9]{9,13}$"), epoch)
+    The parts are brought into one order, ``year|month|day|hour|minute|second|half``, and put right one after the other.
+    """
+    t = F.trim(c)
+    parts = F.lit(None).cast("string")
+    for x in reversed(SPELLINGS):
+        place = {k: i + 1 for i, k in enumerate(x.order.upper())}
+        parts = F.when(t.rlike(x.pattern), F.upper(F.regexp_replace(t, x.pattern, "|".join(f"${place[k]}" for k in "YMD") + "|$4|$5|$6|$7"))).otherwise(parts)
+    for pattern, new in (
+        (rf"^([0-{CENTURY // 10 - 1}]\d)\|", "20$1|"), (r"^(\d\d)\|", "19$1|"),  # short years
+        (r"\|(?=\d(?:\||$))", "|0"),  # single digits
+        (r"\|(\d\d)\|(\d\d)\|[6-9]\d\|", "|$1|$2|59|"), (r"\|(\d\d)\|(\d\d)\|\|", "|$1|$2|00|"),  # seconds beyond the minute, and none
+    ):
+        parts = F.regexp_replace(parts, pattern, new)
+
+    def clock(p: Column) -> Column:
+        hour = F.substring(p, 12, 2).try_cast("int") % 12 + F.when(p.endswith("PM"), 12).otherwise(0)
+        return F.when(p.rlike("[AP]M$"), F.concat(F.substring(p, 1, 11), F.lpad(hour.cast("string"), 2, "0"), F.substring(p, 14, 7))).otherwise(p)
+
+    def text(p: Column) -> Column:
+        day = r"^[1-9]\d{3}\|(?:0[1-9]|1[0-2])\|(?:0[1-9]|[12]\d|3[01])\|"
+        whole = F.regexp_replace(p, r"^(\d+)\|(\d+)\|(\d+)\|(\d+)\|(\d+)\|(\d+)\|.*", "$1-$2-$3T$4:$5:$6")
+        return F.when(p.rlike(day + r"(?:[01]\d|2[0-3])\|[0-5]\d\|"), whole).when(p.rlike(day), F.translate(F.substring(p, 1, 10), "|", "-"))
+
+    number = t.try_cast("bigint")
+    seconds = F.when(F.length(t) == _MILLIS, F.floor(number / 1000)).otherwise(number)
+    unix = F.replace(F.substring(F.timestamp_seconds(seconds).cast("timestamp_ntz").cast("string"), 1, 19), F.lit(" "), F.lit("T"))
+    return F.when(t.rlike(f"^{_UNIX.pattern}$"), unix).otherwise(_once(_once(parts, clock), text))
 
 
 def successor(bound: str) -> str:

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ravelin.config import Config
 from ravelin.functions import text as tx
 from ravelin.functions.dates import display_date
 from ravelin.operators.mapping import Mapping
@@ -76,3 +81,16 @@ def card(key: str, doc: str, mapping: Mapping, highlight: list[str] = (), max_ch
             fields[p.raw.replace("[]", "")] = tx.truncate(joined, limit)
     found = snippet(mapping.body_texts(record), list(highlight), shown, limit) if highlight else None
     return Card(key, title, grp, name, date and display_date(date), fields, found)
+
+
+def card_table(rows: DataFrame, config: Config, highlight: list[str] = (), max_chars: int = MAX_CHARS) -> DataFrame:
+    """(seq, id, title, grp, grp_name, date, snippet): the cards of many rows (seq, id, kind, doc), where they are read."""
+    shared = rows.sparkSession.sparkContext.broadcast(config)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mappings = {k: Mapping(f, shared.value.rank, k) for k, f in shared.value.mappings()}
+        for pdf in batches:
+            made = [(seq, card(key, doc, mappings[kind if kind in mappings else None], highlight, max_chars)) for seq, key, kind, doc in pdf[["seq", "id", "kind", "doc"]].itertuples(index=False)]
+            yield pd.DataFrame([(seq, c.id, c.title, c.group, c.group_name, c.date, c.snippet) for seq, c in made], columns=["seq", "id", "title", "grp", "grp_name", "date", "snippet"])
+
+    return rows.select("seq", "id", "kind", "doc").mapInPandas(run, "seq long, id string, title string, grp string, grp_name string, date string, snippet string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -48,3 +50,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def folders(spark: SparkSession, path: str) -> list[str]:
     fs, p, _ = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, one slash behind it, as ``_metadata.file_path`` has it after decoding."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub(r"^(\w+):/+", r"\1:/", fs.makeQualified(p).toString())

@@ -1,8 +1,8 @@
 """Building and keeping an index: versioned Parquet tables behind a pointer file.
 
 ``<path>/CURRENT`` names the version; ``<path>/<version>/`` has records (partitioned by kind, sorted by grp and date within
-files, so that statistics prune), postings (bucketed by term, for searches that needn't scan), groups, facets and
-meta.json. A build that fails leaves the current version as it is.
+files, so that statistics prune), postings (with places, range-partitioned by term; searches read nothing else of the
+texts), groups, facets and meta.json. A build that fails leaves the current version as it is.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ravelin.config import Config, from_dict
 from ravelin.functions import text as tx
 from ravelin.functions.stem import stemmed
-from ravelin.operators import files
+from ravelin.operators import files, postings
 from ravelin.operators.mapping import prepare_rows
 from ravelin.sources import readers
 
@@ -25,7 +25,6 @@ SCHEMA_VERSION = "r1"
 #: Lines of a source are numbered below this, so (source, line) make one number without sorting.
 LINE_BITS = 40
 KEEP_VERSIONS = 2
-POSTING_BUCKETS = 64
 EXAMPLES = 5
 
 
@@ -79,26 +78,32 @@ def facet_table(records: DataFrame) -> DataFrame:
     return each.groupBy("field", F.lower("value").alias("key")).agg(F.min_by("value", F.struct("seq", "value")).alias("value"), F.count(F.lit(1)).alias("count"))
 
 
-def posting_table(records: DataFrame, buckets: int = POSTING_BUCKETS) -> DataFrame:
-    """(bucket, term, seq, tf_title, tf_body, tf_names): one row for each term of a record."""
+def qualified(records: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """(want, id) of the records meant: an exact id, else the only ``<kind>:<id>``. ``ids``: a list, or a table with the column ``want``."""
+    wanted = ids.select("want").distinct() if isinstance(ids, DataFrame) else records.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "want string")
+    keys = records.select("id", F.when(F.col("kind").isNotNull() & F.col("id").startswith(F.concat("kind", F.lit(":"))), F.expr("substring(id, length(kind) + 2)")).alias("bare"))
+    exact = keys.join(wanted, keys["id"] == wanted["want"]).select("want", "id")
+    bare = keys.join(wanted, keys["bare"] == wanted["want"]).join(exact.select(F.col("want").alias("w")), F.col("want") == F.col("w"), "left_anti")
+    only = bare.groupBy("want").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").select("want", "id")
+    return exact.unionByName(only)
 
-    def marked(c: str) -> Column:
-        return F.transform(f"{c}_toks", lambda t: F.struct(t.alias("term"), F.lit(c).alias("c")))
 
-    parts = [marked(c) for c in ("title", "body", "names")]
-    each = records.select("seq", "n_toks", F.inline(F.concat(*parts)))
-    tf = [F.sum((F.col("c") == c).cast("int")).cast("int").alias(f"tf_{c}") for c in ("title", "body", "names")]
-    return each.groupBy("term", "seq", "n_toks").agg(*tf).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+def merged(current: DataFrame, delta: DataFrame) -> DataFrame:
+    """The current rows with those of ``delta`` (one for each id) in place of their own; a replaced row keeps its number."""
+    old = current.select("id", F.col("seq").alias("_seq"))
+    new = delta.join(old, "id", "left").withColumn("seq", F.coalesce("_seq", "seq")).drop("_seq")
+    return current.join(delta.select("id"), "id", "left_anti").unionByName(new)
 
 
-def qualified(records: DataFrame, ids: list[str]) -> DataFrame:
-    """(id) of the records meant: an exact id, else the only ``<kind>:<id>``."""
-    wanted = records.sparkSession.createDataFrame([(i,) for i in ids], "want string")
-    keys = records.select("id", F.when(F.col("kind").isNotNull() & F.col("id").startswith(F.concat("kind", F.lit(":"))), F.expr("substring(id, length(kind) + 2)")).alias("bare"))
-    exact = keys.join(F.broadcast(wanted), keys["id"] == wanted["want"]).select("want", "id")
-    bare = keys.join(F.broadcast(wanted), keys["bare"] == wanted["want"]).join(exact.select(F.col("want").alias("w")), F.col("want") == F.col("w"), "left_anti")
-    only = bare.groupBy("want").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").select("want", "id")
-    return exact.unionByName(only)
+def without_ids(current: DataFrame, gone: DataFrame) -> DataFrame:
+    """The current rows but those whose id is in ``gone``."""
+    return current.join(gone.select("id"), "id", "left_anti")
+
+
+def kind_counts(records: DataFrame) -> DataFrame:
+    """(kind, n, n_ids, first_seq, last_seq); the distinct ids are counted in two grouped steps."""
+    each = records.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    return each.groupBy("kind").agg(F.sum("n").alias("n"), F.count("id").alias("n_ids"), F.min("lo").alias("first_seq"), F.max("hi").alias("last_seq"))
 
 
 class Index:
@@ -137,7 +142,7 @@ class Index:
             groups = group_table(done, former)
             groups.write.parquet(f"{at}/groups")
             facet_table(done).write.parquet(f"{at}/facets")
-            posting_table(done).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
+            postings.write(done, f"{at}/postings")
             row = done.agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"), F.sum("n_toks").alias("toks")).first()
             kinds = {r["kind"]: r["count"] for r in done.groupBy("kind").count().collect() if r["kind"]}
             meta = {"schema_version": SCHEMA_VERSION, "config": config.to_dict(), "manifest": manifest, "analyzer": analyzer, "record_count": row["n"], "group_count": self.spark.read.parquet(f"{at}/groups").count(), "date_min": row["lo"], "date_max": row["hi"], "tokens": row["toks"] or 0, "kinds": kinds, "updated_at": int(time.time())}
@@ -196,20 +201,18 @@ class Index:
         top = current.agg(F.max("seq")).first()[0] or 0
         order = F.shiftleft(F.col("src_no").cast("long"), LINE_BITS) + F.col("line") + F.lit(top + 1)
         delta = tokenized(last_wins(rows, order), meta["analyzer"])
-        old = current.select("id", F.col("seq").alias("_seq"))
-        delta = delta.join(old, "id", "left").withColumn("updated", F.col("_seq").isNotNull()).withColumn("seq", F.coalesce("_seq", "seq")).drop("_seq")
-        counts = delta.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("updated").cast("int")), F.lit(0)).alias("u")).first()
-        merged = current.join(delta.select("id"), "id", "left_anti").unionByName(delta.drop("updated"))
-        done = self._commit(merged, config, "", meta["analyzer"], self.table("groups"))
+        known = delta.select("id").join(current.select("id").withColumn("_old", F.lit(1)), "id", "left")
+        counts = known.agg(F.count(F.lit(1)).alias("n"), F.count("_old").alias("u")).first()
+        done = self._commit(merged(current, delta), config, "", meta["analyzer"], self.table("groups"))
         files.remove(self.spark, f"{self.path}/staged")
         return IngestReport(True, done["record_count"], done["group_count"], counts["n"] - counts["u"], counts["u"], 0, skipped, examples, done["kinds"])
 
-    def delete(self, ids: list[str]) -> IngestReport:
+    def delete(self, ids: list[str] | DataFrame) -> IngestReport:
         meta = self.meta
         current = self.table("records").drop("part")
         gone = qualified(current, ids)
         n = gone.count()
         if not n:
             return IngestReport(False, meta["record_count"], meta["group_count"], kinds=meta["kinds"])
-        done = self._commit(current.join(gone.select("id"), "id", "left_anti"), self.config, "", meta["analyzer"], self.table("groups"))
+        done = self._commit(without_ids(current, gone), self.config, "", meta["analyzer"], self.table("groups"))
         return IngestReport(True, done["record_count"], done["group_count"], deleted=n, kinds=done["kinds"])

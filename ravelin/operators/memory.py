@@ -22,7 +22,9 @@ from ravelin.config import MemoryConfig
 from ravelin.functions import text as tx
 from ravelin.functions.dates import format_unix, normalize_bound, parse_unix
 from ravelin.operators import files, rank
-from ravelin.operators.guard import KINDS, Refused, Remember, check, namespace, parse_kind, secret_kind, slot_key
+from ravelin.operators.guard import KINDS, Refused, Remember, check, namespace, parse_kind, secret_column, slot_key
+from ravelin.operators.index import qualified
+from ravelin.session import cut
 
 SCHEMA = (
     "id string, ns string, kind string, subject string, subject_norm string, key string, text string, tags array<string>, importance int, confidence double, "
@@ -145,6 +147,66 @@ def visible(now: str, *, as_of: str | None = None, history: bool = False, since:
     return ok & F.col("valid_to").isNull() & F.col("deleted_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
+def counts(rows: DataFrame, now: str) -> DataFrame:
+    """One row: how many versions there are, and in which state."""
+    held, kept = F.col("valid_to").isNull(), F.col("deleted_at").isNull()
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(visible(now)).alias("current"), F.count_if(~kept).alias("forgotten"), F.count_if(~held & kept).alias("superseded"),
+        F.count_if(held & kept & (F.col("expires_at") <= now)).alias("expired"), F.max("updated_at").alias("newest"),
+    )
+
+
+def newest(rows: DataFrame, limit: int) -> DataFrame:
+    return rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)
+
+
+def prunable(now: str, *, forgotten: bool = False, superseded: bool = False) -> Column:
+    """Expired versions, and those asked for."""
+    out = F.coalesce(F.col("expires_at") <= now, F.lit(False))
+    if forgotten:
+        out = out | F.col("deleted_at").isNotNull()
+    return out | F.col("valid_to").isNotNull() if superseded else out
+
+
+def cost(line: Column) -> Column:
+    """``cost_of`` of a column."""
+    return F.ceil(F.octet_length(line) / 3)
+
+
+def linked(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """(refs + the records' columns): references (column ``ref``) to the records they name, whole or by their only bare id."""
+    meant = qualified(records, refs.select(F.col("ref").alias("want")))
+    return refs.join(meant.withColumnRenamed("id", "_id"), refs["ref"] == meant["want"]).drop("want").join(records, F.col("_id") == records["id"]).drop("_id")
+
+
+def subjects_of(asked: DataFrame, subjects: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(query, norm, how): names asked for (column ``query``) to the subject of that name, else to the one they are an alias of."""
+    q = asked.where(F.col("query").isNotNull()).distinct().withColumn("_q", tx.name_key(F.col("query")))
+    own = subjects.select(F.col("norm").alias("_own")).where(F.col("_own").isNotNull()).distinct()
+    other = aliases.groupBy(F.col("alias").alias("_a")).agg(F.min("norm").alias("_other"))
+    out = q.join(own, F.col("_q") == F.col("_own"), "left").join(other, F.col("_q") == F.col("_a"), "left")
+    out = out.select("query", F.coalesce("_own", "_other").alias("norm"), F.when(F.col("_own").isNotNull(), "subject").otherwise("alias").alias("how"))
+    return out.where(F.col("norm").isNotNull())
+
+
+def claims_of(text: DataFrame, known: DataFrame, now: str) -> DataFrame:
+    """The claims of JSON lines (column ``value``), complete, without known ids, lines that are no claims, and lines with credentials."""
+    rows = text.select(F.from_json("value", SCHEMA).alias("m")).select("m.*").where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("ns").isNotNull())
+    rows = rows.join(known.select("id"), "id", "left_anti").dropDuplicates(["id"]).where(secret_column(F.col("text")).isNull())
+    none = F.array().cast("array<string>")
+    given = {"kind": F.lit("note"), "tags": none, "refs": none, "importance": F.lit(3), "confidence": F.lit(1.0), "pinned": F.lit(False), "recall_count": F.lit(0).cast("bigint"), "created_at": F.lit(now), "updated_at": F.lit(now), "valid_from": F.lit(now)}
+    rows = rows.withColumns({c: F.coalesce(c, v) for c, v in given.items()})
+    norm = F.when(F.coalesce("subject_norm", F.lit("")) != "", F.col("subject_norm")).otherwise(F.coalesce(tx.name_key(F.col("subject")), F.lit("")))
+    return rows.withColumn("subject_norm", norm).select(*COLUMNS)
+
+
+def superseded_by(current: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The current holders of slots that fresh keyed claims take, closed by them."""
+    new = fresh.where(F.col("key").isNotNull() & F.col("valid_to").isNull() & F.col("deleted_at").isNull()).groupBy("ns", "subject_norm", "key").agg(F.max(F.struct("valid_from", "id")).alias("_n"))
+    old = current.where(F.col("valid_to").isNull() & F.col("deleted_at").isNull()).join(new, ["ns", "subject_norm", "key"])
+    return old.withColumns({"valid_to": F.col("_n.valid_from"), "superseded_by": F.col("_n.id")}).select(*COLUMNS)
+
+
 def recency(now: str, half_life: dict[str, float]) -> Column:
     """Halves with each half-life of its kind; 1 for kinds without one."""
     age = F.greatest(F.lit(0.0), (F.lit(parse_unix(now)) - F.unix_timestamp(F.replace(F.substring("updated_at", 1, 19), F.lit("T"), F.lit(" ")).try_cast("timestamp"))) / 86_400.0)
@@ -205,16 +267,18 @@ class Memory:
     # storage
 
     def _append(self, rows: list[dict], op: str) -> None:
-        if not rows:
-            return
+        if rows:
+            self._write(self.spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], SCHEMA).coalesce(1), op)
+
+    def _write(self, rows: DataFrame, op: str) -> None:
+        """Append a state of each row, in one write whatever their number."""
         self._n += 1
-        df = self.spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], SCHEMA).withColumn("wseq", F.lit(self._n)).withColumn("gone", F.lit(op == "prune")).withColumn("op", F.lit(op))
-        df.coalesce(1).write.mode("append").parquet(f"{self.path}/states")
+        rows.withColumn("wseq", F.lit(self._n)).withColumn("gone", F.lit(op == "prune")).withColumn("op", F.lit(op)).write.mode("append").parquet(f"{self.path}/{self._states_at()}")
 
     def states(self) -> DataFrame:
-        if not files.exists(self.spark, f"{self.path}/states"):
+        if not files.exists(self.spark, f"{self.path}/{self._states_at()}"):
             return self.spark.createDataFrame([], SCHEMA + ", wseq bigint, gone boolean, op string")
-        return self.spark.read.parquet(f"{self.path}/states")
+        return self.spark.read.parquet(f"{self.path}/{self._states_at()}")
 
     def rows(self) -> DataFrame:
         s = self.states()
@@ -228,10 +292,13 @@ class Memory:
     def compact(self) -> None:
         """Fold the states of each id into one."""
         rows = self.rows().withColumn("wseq", F.lit(self._n)).withColumn("gone", F.lit(False)).withColumn("op", F.lit("compact"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/folded")
-        files.remove(self.spark, f"{self.path}/states")
-        self.spark.read.parquet(f"{self.path}/folded").write.parquet(f"{self.path}/states")
-        files.remove(self.spark, f"{self.path}/folded")
+        folded, former = f"states-{self._n}", self._states_at()
+        rows.write.parquet(f"{self.path}/{folded}")
+        files.write_text(self.spark, f"{self.path}/STATES", folded)  # readers change over at once, and never see an empty store
+        files.remove(self.spark, f"{self.path}/{former}")
+
+    def _states_at(self) -> str:
+        return files.read_text(self.spark, f"{self.path}/STATES") or "states"
 
     def _aliases(self) -> DataFrame:
         at = f"{self.path}/aliases"
@@ -326,14 +393,13 @@ class Memory:
         rows = self.rows().where(visible(self.clock(), history=history) & F.col("ns").isin(self._namespaces(ns)))
         if kinds:
             rows = rows.where(F.col("kind").isin([parse_kind(k) for k in kinds]))
-        return [r.asDict() for r in rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(min(limit, 10_000)).collect()]
+        return [r.asDict() for r in newest(rows, min(limit, 10_000)).collect()]
 
     def stats(self) -> dict:
         now = self.clock()
         current = visible(now)
-        expired = F.col("valid_to").isNull() & F.col("deleted_at").isNull() & (F.col("expires_at") <= now)
         rows = self.rows()
-        r = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(current).alias("current"), F.count_if(F.col("deleted_at").isNotNull()).alias("forgotten"), F.count_if(F.col("valid_to").isNotNull() & F.col("deleted_at").isNull()).alias("superseded"), F.count_if(expired).alias("expired"), F.max("updated_at").alias("newest")).first().asDict()
+        r = counts(rows, now).first().asDict()
         for name, c in (("kinds", "kind"), ("namespaces", "ns")):
             r[name] = {x[c]: x["count"] for x in rows.where(current).groupBy(c).count().collect()}
         r["subjects"] = [(x["subject"], x["n"]) for x in rows.where(current & F.col("subject").isNotNull()).groupBy("subject").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "subject").limit(10).collect()]
@@ -438,22 +504,11 @@ class Memory:
     def import_jsonl(self, path: str) -> dict[str, int]:
         """Known ids, lines with credentials and lines that aren't claims are skipped; a current value takes its slot."""
         text = self.spark.read.text(path)
-        rows = text.select(F.from_json("value", SCHEMA).alias("m")).select("m.*").where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("ns").isNotNull())
-        fresh = rows.join(self.rows().select("id"), "id", "left_anti").dropDuplicates(["id"])
         lines = text.where(F.trim("value") != "").count()
-        taken = [r.asDict() for r in fresh.collect()]
-        done = [m for m in taken if secret_kind(m["text"]) is None]
-        now, changed = self.clock(), []
-        for m in done:
-            m["subject_norm"] = m["subject_norm"] or tx.normalize_name(m["subject"] or "")
-            for k, v in (("kind", "note"), ("tags", []), ("refs", []), ("importance", 3), ("confidence", 1.0), ("pinned", False), ("recall_count", 0), ("created_at", now), ("updated_at", now), ("valid_from", now)):
-                m[k] = v if m[k] is None else m[k]
-            if m["key"] and m["valid_to"] is None and m["deleted_at"] is None:
-                held = self._current(m["ns"]).where((F.col("subject_norm") == m["subject_norm"]) & (F.col("key") == m["key"])).first()
-                if held:
-                    changed.append(held.asDict() | {"valid_to": m["valid_from"], "superseded_by": m["id"]})
-        self._append(changed + done, "import")
-        return {"created": len(done), "skipped": lines - len(done)}
+        fresh = cut(claims_of(text, self.rows(), self.clock()))  # what is appended below doesn't change it
+        n = fresh.count()
+        self._write(superseded_by(self.rows(), fresh).unionByName(fresh), "import")
+        return {"created": n, "skipped": lines - n}
 
     def import_markdown(self, text: str, ns: str | None = None) -> dict[str, int]:
         """List items as notes about the heading they stand under; front matter and fenced blocks are left out."""
@@ -470,21 +525,17 @@ class Memory:
     def prune(self, *, forgotten: bool = False, superseded: bool = False, unused_days: int | None = None, dry_run: bool = False) -> dict[str, int]:
         """Drop expired rows, and those asked for; ``unused_days`` forgets what is minor and was never recalled."""
         now = self.clock()
-        rows = self.rows()
-        drop = F.coalesce(F.col("expires_at") <= now, F.lit(False))
-        counts = {"expired": rows.where(drop).count(), "forgotten": rows.where(F.col("deleted_at").isNotNull()).count() if forgotten else 0, "superseded": rows.where(F.col("valid_to").isNotNull()).count() if superseded else 0, "unused": 0}
-        if forgotten:
-            drop = drop | F.col("deleted_at").isNotNull()
-        if superseded:
-            drop = drop | F.col("valid_to").isNotNull()
-        idle = []
+        rows = cut(self.rows())
+        drop = prunable(now, forgotten=forgotten, superseded=superseded)
+        counts = {"expired": rows.where(prunable(now)).count(), "forgotten": rows.where(F.col("deleted_at").isNotNull()).count() if forgotten else 0, "superseded": rows.where(F.col("valid_to").isNotNull()).count() if superseded else 0, "unused": 0}
+        idle = rows.limit(0)
         if unused_days is not None:
             before = format_unix((parse_unix(now) or 0) - unused_days * 86_400)
-            idle = [r.asDict() for r in rows.where(visible(now) & ~F.col("pinned") & (F.col("importance") <= 2) & (F.col("recall_count") == 0) & (F.col("updated_at") < before)).collect()]
-            counts["unused"] = len(idle)
+            idle = rows.where(visible(now) & ~F.col("pinned") & (F.col("importance") <= 2) & (F.col("recall_count") == 0) & (F.col("updated_at") < before))
+            counts["unused"] = idle.count()
         if not dry_run:
-            self._append([r.asDict() for r in rows.where(drop).collect()], "prune")
-            self._append([m | {"deleted_at": now, "updated_at": now} for m in idle], "forget")
+            self._write(rows.where(drop), "prune")
+            self._write(idle.withColumns({"deleted_at": F.lit(now), "updated_at": F.lit(now)}), "forget")
         return counts
 
 

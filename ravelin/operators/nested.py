@@ -259,8 +259,8 @@ def text_of(v: object) -> str | None:
 class Shredder:
     """Shreds one record into rows (table, node, parent, columns) by the plan the graph gives.
 
-    ``singletons``: element -> column that a bare scalar in its place stands for; such elements are inlined whatever
-    their number, the first one with a value counting. ``bare``: column that a bare string in place of a repeated
+    ``singletons``: element -> column that a bare scalar in its place stands for; such elements are inlined, of several
+    the first one with a value, and all of these get rows of their own besides, so that none is lost. ``bare``: column that a bare string in place of a repeated
     element stands for. ``content``: columns of which one must be non-blank for a row of a table to exist.
     """
 
@@ -312,7 +312,11 @@ class Shredder:
 
         def push(obj: dict, parents: dict[str, int]) -> None:
             held = [(x, t, parents.get(t, 0)) for k, v in obj.items() if (t := self.table(k)) for x in items(v)]
-            held += [(x, None, 0) for k, v in obj.items() if self.table(k) is None for x in items(v) if isinstance(x, dict)]
+            for k, v in obj.items():
+                if self.table(k) is None:
+                    inner = [x for x in items(v) if isinstance(x, dict)]
+                    own = self.graph.element(k) if k in self.singletons and len(inner) > 1 else None
+                    held += [(x, own, 0) for x in inner]
             todo.extend(reversed([(*h, parents) for h in held]))
 
         push(record, {})
@@ -380,6 +384,29 @@ def typed_table(df: DataFrame, path: str, graph: SchemaGraph, key: str, content:
     return rows.select("row_key", (F.col("_i") + 1).alias("node"), F.lit(0).alias("parent"), *[F.col(f"_x.`{f}`").alias(f + "_" * (f in taken)) for f in fields], *carry)
 
 
+def typed_rows(df: DataFrame, path: str, key: str) -> DataFrame:
+    """(row_key, at, <scalar columns>) of a repeated element at any depth of a typed schema, such as ``orders.lines.parts``.
+
+    ``at`` has the place (from 1) in each array passed on the way, so a row's parent is the row of the table above with
+    the same key and ``at`` without its last place. Null elements keep their place and give no row. Generators only.
+    """
+    first, *rest = path.split(".")
+    kind = df.schema[first].dataType
+    cur = df.select(F.col(f"`{key}`").alias("row_key"), F.array().cast("array<int>").alias("at"), F.col(f"`{first}`").alias("_x"))
+    while True:
+        while isinstance(kind, T.ArrayType):
+            cur = cur.select("row_key", "at", F.posexplode("_x").alias("_i", "_x")).select("row_key", F.concat("at", F.array(F.col("_i") + 1)).alias("at"), "_x").where(F.col("_x").isNotNull())
+            kind = kind.elementType
+        if not rest:
+            break
+        name, *rest = rest
+        kind = kind[name].dataType
+        cur = cur.select("row_key", "at", F.col(f"_x.`{name}`").alias("_x"))
+    plain = [f.name for f in kind.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))] if isinstance(kind, T.StructType) else []
+    taken = {"row_key", "at"}
+    return cur.select("row_key", "at", *[F.col(f"_x.`{f}`").alias(f + "_" * (f in taken)) for f in plain] or [F.col("_x").alias("value")])
+
+
 #: Declared for the ticket data: what a bare scalar means, and what makes a comment a comment.
 TICKET_SINGLETONS = {"customer": "id", "author": "name"}
 TICKET_BARE = {"comments": "text"}

@@ -83,16 +83,3 @@ def two_stage(scored: DataFrame, limit: int, offset: int = 0, newest: bool = Fal
     first = scored.orderBy(F.desc("score"), F.asc("seq")).limit(max(OVERFETCH * (offset + limit), LEAST_FETCH))
     boosted = first.withColumn("relevance", F.col("score") * F.col("boost"))
     return boosted.orderBy(F.desc("relevance"), F.desc_nulls_last("date"), F.asc("seq")).offset(offset).limit(limit)
-
-
-def by_postings(postings: DataFrame, terms: list[str], stats: Corpus, weights: dict[str, float], buckets: int) -> DataFrame:
-    """(seq, score) from the posting table: reads only the buckets of the terms, then sums over each record's few rows."""
-    spark = postings.sparkSession
-    rows = [(t, stats.idf(i)) for i, t in enumerate(terms)]
-    wanted = spark.createDataFrame(rows, "w string, idf double")
-    at = [r[0] for r in wanted.select(F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")).distinct().collect()]
-    hits = postings.where(F.col("bucket").isin(at) & F.col("term").isin(terms)).join(F.broadcast(wanted), F.col("term") == F.col("w"))
-    f = sum((w * F.col(f"tf_{c}") for c, w in weights.items()), F.lit(0.0))
-    norm = K1 * (1 - B + B * F.col("n_toks") / (stats.mean_length or 1.0))
-    each = hits.withColumn("s", F.col("idf") * f * (K1 + 1) / (f + norm)).where(f > 0)
-    return each.groupBy("seq").agg(F.sum("s").alias("score"))

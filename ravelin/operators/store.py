@@ -12,9 +12,9 @@ from ravelin.functions import text as tx
 from ravelin.functions.dates import normalize_bound
 from ravelin.functions.stem import index_form
 from ravelin.operators import aggregate as ag
-from ravelin.operators import rank
+from ravelin.operators import postings, rank
 from ravelin.operators.cards import Card, card
-from ravelin.operators.index import POSTING_BUCKETS, Index, qualified
+from ravelin.operators.index import Index, qualified
 from ravelin.operators.mapping import Mapping
 from ravelin.operators.resolve import resolve
 
@@ -194,22 +194,36 @@ class Store:
             rows = hits.orderBy(F.desc_nulls_last("date"), F.desc("seq")).offset(req.offset).limit(limit)
             out.results = self._cards(rows.select("id", "kind", "doc").collect(), [], req)
             return out
-        args = {"title_weight": self.config.rank.title_weight, "forms": self.forms, "newest": req.sort == "newest", "limit": limit}
-        hits, page = page_of(self.records, q, where=where, scoped=scope == "group", offset=req.offset, **args)
+        hits = self.hits([postings.Question(q, key, scope)], other)
         out.total_matches = hits.count()
-        out.results = self._page(page, q, req)
+        out.results = self._page(postings.pages(hits, limit, req.offset, req.sort == "newest"), q, req)
         if scope == "group" and not out.results and req.offset == 0 and req.fallback and key is not None:
-            _, page = page_of(self.records, q, where=other & scope_filter("others", key), scoped=False, **args)
-            out.other_groups = self._page(page, q, req)
+            out.other_groups = self._page(postings.pages(self.hits([postings.Question(q, key, "others")], other), limit, 0, req.sort == "newest"), q, req)
             for c in out.other_groups:
                 c.other_group = True
             if out.other_groups:
                 out.notes.append("nothing matched in this group; other_groups come from other groups")
         return out
 
+    def hits(self, questions: list[postings.Question], where: Column | None = None) -> DataFrame:
+        """(q, seq, score, grp, date, boost) by the stored postings."""
+        n = self.meta["record_count"]
+        return postings.scored(self.index.table("postings"), self.records, questions, n, self.meta["tokens"] / n if n else 0.0, title_weight=self.config.rank.title_weight, forms=self.forms, where=where)
+
+    def search_all(self, texts: list[str], keys: list[str | None] | None = None, limit: int = 5, fallback: bool = True) -> DataFrame:
+        """(q, rank, seq, relevance, other_group) of many questions in one job, each in the group of its key or in all records.
+
+        Questions that find nothing in their group are looked up in the others, in a second job, and marked.
+        """
+        keys = keys or [None] * len(texts)
+        asked = [postings.Question(tx.Query.parse(t), k, "group" if k is not None else "all") for t, k in zip(texts, keys, strict=True)]
+        if fallback:
+            return postings.answered(self.hits, asked, limit)
+        return postings.pages(self.hits(asked), limit).withColumn("other_group", F.lit(False))
+
     def _page(self, page: DataFrame, q: tx.Query, req: SearchRequest) -> list[Card]:
         """Documents are read for the page only: its narrow rows are found first, then joined by number."""
-        rows = [(r["seq"], r["relevance"]) for r in page.select("seq", "relevance").collect()]
+        rows = [(r["seq"], r["relevance"]) for r in page.orderBy("rank").select("seq", "relevance").collect()]
         if not rows:
             return []
         docs = {r["seq"]: r for r in self.records.where(F.col("seq").isin([s for s, _ in rows])).select("seq", "id", "kind", "doc").collect()}
@@ -221,25 +235,6 @@ class Store:
     def _cards(self, rows, highlight, req) -> list[Card]:
         return [card(r["id"], r["doc"], self.mappings[r["kind"] if r["kind"] in self.mappings else None], highlight, req.max_chars) for r in rows]
 
-    def rank_postings(self, query: str, limit: int = 5, scoped_to: str | None = None) -> DataFrame:
-        """(seq, relevance) of a search of single words by the posting table, for indexes too large to scan."""
-        q = tx.Query.parse(query)
-        terms = [[self.forms(x) for x in t] for t in q.positive() if len(t) == 1]
-        columns = ["title", "body"] if scoped_to else ["title", "body", "names"]
-        weights = {"title": self.config.rank.title_weight, "body": rank.BODY_WEIGHT, "names": rank.NAMES_WEIGHT}
-        weights = {c: weights[c] for c in columns}
-        postings = self.index.table("postings")
-        any_tf = sum((F.col(f"tf_{c}") for c in columns), F.lit(0)) > 0
-        df = {r["term"]: r["n"] for r in postings.where(F.col("term").isin([t[0] for t in terms]) & any_tf).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n = self.meta["record_count"]
-        stats = rank.Corpus(n, self.meta["tokens"] / n if n else 0.0, tuple(df.get(t[0], 0) for t in terms))
-        scored = rank.by_postings(postings, [t[0] for t in terms], stats, weights, POSTING_BUCKETS)
-        if scoped_to is not None:
-            scored = scored.join(self.records.where(F.col("grp") == scoped_to).select("seq"), "seq", "left_semi")
-        first = scored.orderBy(F.desc("score"), F.asc("seq")).limit(max(rank.OVERFETCH * limit, rank.LEAST_FETCH))
-        rows = first.join(self.records.select("seq", "boost", "date"), "seq").withColumn("relevance", F.col("score") * F.col("boost"))
-        return rows.orderBy(F.desc("relevance"), F.desc_nulls_last("date"), F.asc("seq")).limit(limit).select("seq", "relevance")
-
     def recent(self, **kw) -> SearchOutcome:
         return self.search(SearchRequest(query="", **kw))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import text as tx
 from ravelin.functions.dates import date_column
 from ravelin.operators import aggregate as ag
-from ravelin.operators import guard, index, memory, rank
+from ravelin.operators import guard, index, memory, postings, rank
 from ravelin.operators import infer as inf
 from ravelin.operators.mapping import VALUE_CHARS, numbers_at, scalars_at
 from ravelin.operators.resolve import resolve, resolve_all
@@ -248,77 +248,6 @@ def browse_others_scope(spark: SparkSession, d: str) -> DataFrame:
 # search
 
 
-def _search(spark: SparkSession, d: str, text: str, *, scope: str = "all", group: str | None = None, **kw) -> DataFrame:
-    _, page = page_of(indexed(spark, d), tx.Query.parse(text), where=scope_filter(scope, group), scoped=scope == "group", **kw)
-    return _page(page)
-
-
-@register("WITH " + bm25_sql(["export", "screen", "filter"], W3) + page_sql(20))
-def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "the export screen filter", limit=20)
-
-
-@register("WITH " + bm25_sql(["sensor", "pump", "harrow"], W2, "grp = 'C-HARROW'") + page_sql(10))
-def search_scoped_group(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "sensor pump harrow", scope="group", group="C-HARROW", limit=10)
-
-
-_LINE = "' ' || array_to_string({0}, ' ') || ' '"
-_PHRASE = lambda p: "(" + " OR ".join(f"contains({_LINE.format(c)}, ' {p} ')" for c in ("tt", "bt", "nt")) + ")"
-
-
-@register(f"WITH {T_} SELECT id, seq FROM t WHERE {_PHRASE('missing licence')} AND NOT (list_contains(tt, 'belt') OR list_contains(bt, 'belt') OR list_contains(nt, 'belt'))")
-def search_phrase_exclude(spark: SparkSession, d: str) -> DataFrame:
-    q = tx.Query.parse('"missing licence" -belt')
-    cols = ["title", "body", "names"]
-    return indexed(spark, d).where(rank.matches(q.positive(), cols) & ~rank.matches(q.negative(), cols)).select("id", "seq")
-
-
-@register("WITH " + bm25_sql(["valve", "seal"], W3, "grp IS NULL OR grp <> 'C-HARROW'") + page_sql(10))
-def search_others_scope(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "valve seal", scope="others", group="C-HARROW", limit=10)
-
-
-@register("WITH " + bm25_sql(["übersicht"], W3, "(SELECT count(*) FROM t WHERE grp = 'C-NOBODY' AND (list_contains(tt, 'übersicht') OR list_contains(bt, 'übersicht'))) = 0 AND (grp IS NULL OR grp <> 'C-NOBODY')") + page_sql(5))
-def search_fallback_other_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows, q = indexed(spark, d), tx.Query.parse("Übersicht")
-    hits, page = page_of(rows, q, where=scope_filter("group", "C-NOBODY"), scoped=True, limit=5)
-    if hits.isEmpty():
-        _, page = page_of(rows, q, where=scope_filter("others", "C-NOBODY"), scoped=False, limit=5)
-    return _page(page)
-
-
-@register("WITH " + bm25_sql(["report"], W3) + ", first AS (SELECT * FROM scored ORDER BY score DESC, seq LIMIT 100) SELECT id, seq, round(score, 6) AS score, boost FROM first")
-def search_first_stage(spark: SparkSession, d: str) -> DataFrame:
-    hits, _ = page_of(indexed(spark, d), tx.Query.parse("report"), where=F.lit(True), scoped=False, limit=10)
-    return hits.orderBy(F.desc("score"), F.asc("seq")).limit(100).select("id", "seq", F.round("score", 6).alias("score"), "boost")
-
-
-@register("WITH " + bm25_sql(["report", "closed"], W3) + page_sql(10))
-def search_boost_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "report closed", limit=10)
-
-
-@register("WITH " + bm25_sql(["calendar"], W3) + " SELECT id, seq, round(score * boost, 6) AS relevance FROM scored ORDER BY date DESC NULLS LAST, seq DESC LIMIT 10")
-def search_newest_sort(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "calendar", newest=True, limit=10)
-
-
-@register("WITH " + bm25_sql(["valve", "technician"], {"title": 6.0, "body": 1.0, "names": 0.5}) + page_sql(10, 5))
-def search_title_weight(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "valve technician", title_weight=6.0, limit=10, offset=5)
-
-
-@register("WITH " + bm25_sql(["printer", "belt", "logistics"], W3) + ", first AS (SELECT * FROM scored ORDER BY score DESC, seq LIMIT 100) SELECT seq, round(score, 6) AS score FROM first")
-def search_postings(spark: SparkSession, d: str) -> DataFrame:
-    """The same ranking by the posting table instead of a scan of token arrays."""
-    rows = indexed(spark, d)
-    terms = ["printer", "belt", "logistics"]
-    stats = rank.corpus(rows, [[t] for t in terms], ["title", "body", "names"])
-    scored = rank.by_postings(index.posting_table(rows), terms, stats, W3, index.POSTING_BUCKETS)
-    return scored.orderBy(F.desc("score"), F.asc("seq")).limit(100).select("seq", F.round("score", 6).alias("score"))
-
-
 _DOCS = f"t0 AS (SELECT doc_id AS seq, grp, CAST(doc_id AS VARCHAR) AS id, 1.0 AS boost, CAST(NULL AS VARCHAR) AS date, [] AS tt, {_TOK('text')} AS bt, [] AS nt FROM documents), t AS (SELECT *, len(bt) AS n_toks FROM t0)"
 
 
@@ -403,7 +332,7 @@ def describe_topn_per_field(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT kind, count(*) AS n, count(DISTINCT id) AS n_ids, min(seq) AS first_seq, max(seq) AS last_seq FROM records GROUP BY kind")
 def kind_report(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return index.kind_counts(table(spark, d, "records"))
 
 
 _LAST = "SELECT *, row_number() OVER (PARTITION BY id ORDER BY {0} DESC) AS rn, min({0}) OVER (PARTITION BY id) AS first FROM {1}"
@@ -421,13 +350,10 @@ def dedupe_last_wins(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, seq, title FROM all_ WHERE id NOT IN (SELECT 'tickets:' || ticket_id FROM tickets WHERE lower(trim(status)) = 'closed')""")
 def upsert_delete_state(spark: SparkSession, d: str) -> DataFrame:
     """Base, then newer rows that keep the number of the row they replace, then deletes: anti joins and one union."""
-    base = index.last_wins(table(spark, d, "records").where("kind = 'tickets'"), F.col("seq")).select("id", "seq", "title")
-    t = table(spark, d, "tickets").withColumn("id", F.concat(F.lit("tickets:"), "ticket_id"))
-    order = F.col("seq")
-    delta = t.groupBy("id").agg(F.max_by(F.coalesce(F.trim("subject"), F.lit("")), order).alias("title"), (F.max("seq") + 1_000_000_000).alias("new_seq"))
-    up = delta.join(base.select("id", "seq"), "id", "left").select("id", F.coalesce("seq", "new_seq").alias("seq"), "title")
-    gone = t.where(F.lower(F.trim("status")) == "closed").select("id").distinct()
-    return base.join(delta.select("id"), "id", "left_anti").unionByName(up).join(gone, "id", "left_anti")
+    base = index.last_wins(table(spark, d, "records").where("kind = 'tickets'").select("id", "seq", "title"), F.col("seq"))
+    t = table(spark, d, "tickets").select(F.concat(F.lit("tickets:"), "ticket_id").alias("id"), "seq", F.coalesce(F.trim("subject"), F.lit("")).alias("title"), F.lower(F.trim("status")).alias("status"))
+    newest = index.last_wins(t, F.col("seq")).select("id", "title").join(t.groupBy("id").agg((F.max("seq") + 1_000_000_000).alias("seq")), "id")
+    return index.without_ids(index.merged(base, newest), t.where("status = 'closed'").select("id").distinct()).select("id", "seq", "title")
 
 
 # scalars
@@ -482,13 +408,6 @@ def truncate_and_cost(spark: SparkSession, d: str) -> DataFrame:
     return t.select("seq", tx.truncated(F.col("body"), 40).alias("body"), F.ceil(F.octet_length("body") / 3).alias("tokens"))
 
 
-@register(f"WITH {R} SELECT seq, replace(regexp_replace(CASE WHEN length(date) = 19 THEN regexp_replace(date, ':00$', '') ELSE date END, 'T00:00$', ''), 'T', ' ') AS shown, CASE WHEN length(title) <= 60 THEN title ELSE rtrim(substr(title, 1, 59)) || '…' END AS title FROM (SELECT seq, date, trim(lower(regexp_replace(title, '(\\s|\\p{{Z}}|\\x{{85}})+', ' ', 'g'))) AS title FROM r)")
-def card_projection(spark: SparkSession, d: str) -> DataFrame:
-    day = F.when(F.length("date") == 19, F.regexp_replace("date", ":00$", "")).otherwise(F.col("date"))
-    shown = F.replace(F.regexp_replace(day, "T00:00$", ""), F.lit("T"), F.lit(" "))
-    return records(spark, d).select("seq", shown.alias("shown"), tx.truncated(tx.name_key(F.col("title")), 60).alias("title"))
-
-
 # inference
 
 
@@ -592,21 +511,6 @@ def budget_pack(spark: SparkSession, d: str) -> DataFrame:
     return listed.select(F.explode(F.transform(taken, lambda i: F.element_at("a", i + 1)["key"])).alias("key"))
 
 
-@register("SELECT n.n_name AS alias, r.r_name AS name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2")
-def alias_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Aliases to the subject they stand for, with the rows under each."""
-    aliases, subjects = table(spark, d, "nation"), table(spark, d, "region")
-    rows = table(spark, d, "customer").join(aliases, F.col("c_nationkey") == F.col("n_nationkey")).join(subjects, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy(F.col("n_name").alias("alias"), F.col("r_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("WITH f AS (SELECT seq, 'tickets:' || ticket_id AS ref FROM tickets), l AS (SELECT id, min(seq) AS seq FROM records GROUP BY id) SELECT f.seq AS memory, f.ref, l.seq AS record FROM f JOIN l ON l.id = f.ref")
-def refs_link_join(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "tickets").select(F.col("seq").alias("memory"), F.concat(F.lit("tickets:"), "ticket_id").alias("ref"))
-    linked = table(spark, d, "records").groupBy("id").agg(F.min("seq").alias("record"))
-    return refs.join(linked, F.col("ref") == F.col("id")).select("memory", "ref", "record")
-
-
 _PORTABLE = ("private key", "AWS access key", "GitHub token", "API key", "Slack token", "Google API key", "Stripe key", "npm token", "crates.io token", "JWT", "credentials in a URL", "password or key assignment")
 _SECRETS = " ".join(f"WHEN regexp_matches(text, '{guard.SECRETS[n].replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n in _PORTABLE)
 _TOKENS = f"regexp_extract_all(text, '{guard.RANDOM_TOKEN}')"
@@ -619,12 +523,6 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", guard.secret_column(F.col("text")).alias("secret"))
 
 
-@register(f"WITH {_SLOTS} SELECT count(*) AS total, count(*) FILTER (valid_to IS NULL) AS current, count(*) FILTER (valid_to IS NOT NULL) AS superseded, count(DISTINCT subject_norm) AS subjects FROM sv")
-def memory_stats(spark: SparkSession, d: str) -> DataFrame:
-    v = memory.slot_versions(writes(spark, d))
-    return v.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("valid_to").isNull()).alias("current"), F.count_if(F.col("valid_to").isNotNull()).alias("superseded"), F.count_distinct("subject_norm").alias("subjects"))
-
-
 # the flagship: orders as records of their customers
 
 

@@ -21,11 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.operators import files
+from ravelin.session import small_side
+
 EXTENSIONS = {".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".csv": "csv", ".tsv": "tsv", ".tab": "tsv", ".db": "sqlite", ".sqlite": "sqlite", ".sqlite3": "sqlite"}
 MAGIC = b"SQLite format 3\0"
 SCHEMA = "src string, src_no int, line bigint, doc string, error string"
 #: Bytes looked at to tell a format.
 HEAD = 65_536
+#: Splits of all files whose first line numbers are broadcast; more of them are joined by a shuffle.
+MAX_SPLITS = 200_000
 
 
 class NoSource(ValueError):
@@ -295,9 +300,10 @@ def _json_lines(spark: SparkSession, sources: list[tuple[int, Source]]) -> DataF
     blocks = lines.groupBy("f", "b").agg(F.min("m").alias("m0"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.withColumn("n0", before).select(F.col("f").alias("f_"), F.col("b").alias("b_"), "m0", "n0")
-    uri = lambda p: "file://" + os.path.abspath(p)
-    names = spark.createDataFrame([(uri(s.path), no, s.label) for no, s in sources], "u string, src_no int, src string")
-    numbered = lines.join(F.broadcast(starts), (F.col("f") == F.col("f_")) & (F.col("b") == F.col("b_"))).join(F.broadcast(names), F.regexp_replace(F.url_decode("f"), "^file:/+", "file:///") == F.col("u"))
+    names = spark.createDataFrame([(files.qualified(spark, s.path), no, s.label) for no, s in sources], "u string, src_no int, src string")
+    numbered = lines.join(small_side(starts, MAX_SPLITS), (F.col("f") == F.col("f_")) & (F.col("b") == F.col("b_")))
+    numbered = numbered.join(F.broadcast(names), F.regexp_replace(F.url_decode("f"), "^(\\w+):/+", "$1:/") == F.col("u"), "left")
+    numbered = numbered.withColumn("src_no", F.coalesce("src_no", F.raise_error(F.concat(F.lit("no source is at "), "f")).cast("int")))
     raw = F.regexp_replace(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1")), "^﻿", "")
     rows = numbered.select("src", "src_no", (F.col("m") - F.col("m0") + F.col("n0") + 1).alias("line"), raw.alias("v")).where(F.trim("v") != "")
 

@@ -10,9 +10,9 @@ import pytest
 from ravelin import config as cf
 from ravelin.functions import text as tx
 from ravelin.operators import aggregate as ag
-from ravelin.operators import infer
+from ravelin.operators import infer, postings
 from ravelin.operators.index import Index, Refused
-from ravelin.operators.store import SearchRequest, Store
+from ravelin.operators.store import SearchRequest, Store, page_of, scope_filter
 from ravelin.sources import readers
 
 TICKETS = [
@@ -82,9 +82,15 @@ def test_search(built):
 
 def test_postings_rank_as_the_scan(built):
     store = Store(built)
-    scan = store.search(SearchRequest("reset report rows", limit=5))
-    fast = store.rank_postings("reset report rows", limit=5).collect()
-    assert [round(r["relevance"], 2) for r in fast] == [c.relevance for c in scan.results]
+    asked = [("reset report rows", None, "all"), ('"leading zeros" reset -password', None, "all"), ("reset", "C-NORTH", "group"), ("reset", "C-NORTH", "others"), ('"reset of the password"', None, "all"), ("nothing here", None, "all")]
+    questions = [postings.Question(tx.Query.parse(t), k, s) for t, k, s in asked]
+    fast = [[(r["seq"], round(r["relevance"], 6)) for r in postings.pages(store.hits(questions), 5).orderBy("q", "rank").collect() if r["q"] == i] for i in range(len(asked))]
+    for (text, key, scope), rows in zip(asked, fast, strict=True):
+        _, page = page_of(store.records, tx.Query.parse(text), where=scope_filter(scope, key), scoped=scope == "group", forms=store.forms)
+        assert rows == [(r["seq"], round(r["relevance"], 6)) for r in page.collect()], text
+    assert fast[0] and fast[2] and not fast[5]
+    batch = store.search_all(["reset", "webhook", "the"], ["C-NORTH", "C-NORTH", None]).orderBy("q", "rank").collect()
+    assert [(r["q"], r["rank"], r["other_group"]) for r in batch] == [(0, 1, False), (1, 1, True)]
 
 
 def test_describe_and_aggregate(built):

@@ -137,3 +137,18 @@ def test_any_depth():
         except (ValueError, IndexError, StopIteration):
             got = None
         assert got == want
+
+
+def test_several_singletons_are_kept():
+    graph = nested.SchemaGraph({("", "customer"): (2, 2, 0), ("customer", "id"): (0, 0, 2)})
+    rows = nested.Shredder(graph, {"customer": "id"}, {}, {}).shred({"customer": [{"id": "a"}, {"id": "b"}]})
+    assert rows[0][3] == {"customer.id": "a"}
+    assert [(t, n, c) for t, n, _, c in rows[1:]] == [("customer", 1, {"id": "a"}), ("customer", 2, {"id": "b"})]
+
+
+def test_typed_rows_at_any_depth(spark):
+    schema = "k int, o struct<lines:array<struct<sku:string,parts:array<array<struct<n:int,at:string>>>>>>"
+    rows = [(1, ([("x", [[(1, "p"), None], [(2, "q")]]), ("y", None)],)), (2, (None,)), (3, None)]
+    df = spark.createDataFrame(rows, schema)
+    assert [tuple(r) for r in nested.typed_rows(df, "o.lines", "k").orderBy("at").collect()] == [(1, [1], "x"), (1, [2], "y")]
+    assert [tuple(r) for r in nested.typed_rows(df, "o.lines.parts", "k").orderBy("at").collect()] == [(1, [1, 1, 1], 1, "p"), (1, [1, 2, 1], 2, "q")]
