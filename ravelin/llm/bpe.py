@@ -127,14 +127,25 @@ class PairIndexEncoder:
         return out
 
     def encode_alone(self, word: str) -> array:
-        """The definition: again and again the leftmost pair of the lowest rank."""
+        """The definition: again and again the leftmost pair of the lowest rank, from a heap of the word's own pairs."""
         sym = [self.byte[b] for b in word.encode("utf-8", "replace")]
-        while len(sym) > 1:
-            rank, i = min((r if (r := self.merged(a, b)) >= 0 else 1 << 40, i) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)))
-            if rank == 1 << 40:
-                break
-            sym[i : i + 2] = [rank]
-        return array("i", sym)
+        n = len(sym)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := self.merged(sym[i], sym[i + 1])) >= 0]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = nxt[i]
+            if sym[i] < 0 or j >= n or self.merged(sym[i], sym[j]) != rank:
+                continue  # a neighbour's merge took one of the two
+            sym[i], sym[j], nxt[i] = rank, -1, nxt[j]
+            if nxt[j] < n:
+                prv[nxt[j]] = i
+                if (r := self.merged(rank, sym[nxt[j]])) >= 0:
+                    heappush(heap, (r, i))
+            if prv[i] >= 0 and (r := self.merged(sym[prv[i]], rank)) >= 0:
+                heappush(heap, (r, prv[i]))
+        return array("i", [x for x in sym if x >= 0])
 
     def run(self, texts: list[str | None]) -> tuple[array, array]:
         """(offsets, ids) of the texts."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import spread
-from ravelin.session import small_side
+from ravelin.session import cut, small_side
 
 LEVELS = 5
 #: Bound of the sample the model is fitted on, and of the model itself (the most widespread words are kept).
@@ -99,7 +99,7 @@ def word_grades(sample: DataFrame) -> dict[str, float]:
 
     columns = [f"n{i}" for i in range(LEVELS + 1)]
     counts = sample.mapInPandas(count, "w string, " + ", ".join(f"{c} double" for c in columns) + ", docs double")
-    every = counts.groupBy("w").agg(*[F.sum(c).alias(c) for c in columns], F.sum("docs").alias("docs"))
+    every = cut(counts.groupBy("w").agg(*[F.sum(c).alias(c) for c in columns], F.sum("docs").alias("docs")))
     totals = np.array([x or 0.0 for x in every.agg(*[F.sum(c) for c in columns]).first()])
     known = every.where(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), "w").limit(MAX_WORDS).toPandas()
     if known.empty:
@@ -112,7 +112,7 @@ def word_grades(sample: DataFrame) -> dict[str, float]:
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Word grades, calibration of the quantiles, and the least share of graded words."""
-    sample = graded(documents, labels, key, text)
+    sample = cut(graded(documents, labels, key, text))  # at most MAX_GRADED documents, read three times from here on
     n = len(QUANTILES) + 3
     blank = Model(word_grades(sample), np.zeros(n), 0.0)
     shared = documents.sparkSession.sparkContext.broadcast(blank)

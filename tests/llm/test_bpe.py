@@ -51,3 +51,23 @@ def test_memo_overflow(monkeypatch, reference):
     enc = bpe.PairIndexEncoder(*bpe.default_vocabulary())
     for t in ("one two three four five six seven", "two eight nine one", "ten"):
         assert list(enc.run([t])[1]) == reference.encode_ordinary(t)
+
+
+def test_long_words_alone_as_together():
+    import random
+    import time
+
+    enc = bpe.PairIndexEncoder(*bpe.default_vocabulary())
+    rnd = random.Random(2)
+    for _ in range(300):
+        w = "".join(rnd.choices("aeinrst tzäß", k=rnd.randrange(1, 40)))
+        sym = [enc.byte[b] for b in w.encode()]
+        while len(sym) > 1:  # the definition, pair by pair
+            rank, i = min((r if (r := enc.merged(a, b)) >= 0 else 1 << 40, i) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)))
+            if rank == 1 << 40:
+                break
+            sym[i : i + 2] = [rank]
+        assert list(enc.encode_alone(w)) == sym == list(enc.encode_words([w])[0])
+    began = time.perf_counter()
+    enc.encode_alone("".join(rnd.choices("abcdefgh", k=300_000)))
+    assert time.perf_counter() - began < 60
