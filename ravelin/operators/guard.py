@@ -34,7 +34,9 @@ SECRETS = {
     "credentials in a URL": r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]{3,}@",
     "password or key assignment": r"""(?i)\b(?:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|private[_-]?key|bearer)\b["']?\s*(?:[:=]|\bis\b)\s*["']?[^\s"']{6,}""",
 }
+#: Forms that are accepted, or taken for random.
 RANDOM_TOKEN, RANDOM_BITS = r"[A-Za-z0-9+/_=-]{32,}", 4.2
+#: Forms that are accepted, or taken for random.
 NAMESPACE = re.compile(r"[a-z0-9][a-z0-9:_./@-]{0,63}")
 KEY = re.compile(r"[^\W_][\w.:/@-]{0,79}")
 TAG = re.compile(r"[^\W_][\w.:/-]{0,39}")
