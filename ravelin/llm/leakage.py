@@ -327,10 +327,10 @@ class _Hashes(dict):
 
 
 class _Read:
-    """Words and numbers of items and of the document at hand; rows of a document come one after the other."""
+    """Words and numbers of items and documents."""
 
     def __init__(self, forms: Templates):
-        self.forms, self.plain, self.id, self.parts, self.passages = forms, _Hashes(), None, [], {}
+        self.forms, self.plain, self.passages = forms, _Hashes(), {}
 
     def item(self, no: int, passage: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(words, their numbers, numbers of their template forms)."""
@@ -342,16 +342,15 @@ class _Read:
             hit = self.passages[no] = words, self.plain.of(words), self.forms.numbers(words) & ~np.uint64(3)
         return hit
 
-    def document(self, id: int, starts, parts, own: set[str]) -> list[tuple[int, list[str], np.ndarray, list[np.ndarray]]]:
-        if id != self.id:
-            self.id, self.parts = id, []
-            for start, text in zip(starts, parts, strict=True):
-                words = text.split(" ")
-                shapes = [self.forms.numbers(words) & ~np.uint64(3)]
-                if not own.isdisjoint(words):
-                    shapes.append(np.where([w in own for w in words], np.uint64(_SLOT["#p"]), shapes[0]))
-                self.parts.append((start, words, self.plain.of(words), shapes))
-        return self.parts
+    def document(self, starts, parts, own: set[str]) -> list[tuple[int, list[str], np.ndarray, list[np.ndarray]]]:
+        out = []
+        for start, text in zip(starts, parts, strict=True):
+            words = text.split(" ")
+            shapes = [self.forms.numbers(words) & ~np.uint64(3)]
+            if not own.isdisjoint(words):
+                shapes.append(np.where([w in own for w in words], np.uint64(_SLOT["#p"]), shapes[0]))
+            out.append((start, words, self.plain.of(words), shapes))
+        return out
 
 
 def _judged(item: tuple[list[str], np.ndarray, np.ndarray], parts: list[tuple[int, list[str], np.ndarray, list[np.ndarray]]], p: np.ndarray, k: np.ndarray, forms: Templates, own: set[str]) -> str | None:
@@ -454,8 +453,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     last = LEAST_WINDOWS - 1
     near = f"exists(sequence(0, size(at) - {LEAST_WINDOWS}), i -> at[i + {last}].p - at[i].p <= {LONGEST_IN_DOC - WINDOW})"
     cases = places.where(F.size("at") >= LEAST_WINDOWS).where(near)
-    cases = cases.select("id", "no", F.col("at.p").alias("at_p"), F.col("at.k").alias("at_k"))
-    texts = kept.select("id", "k", "starts", "parts", "own").join(cases, "id").join(small_side(items, SMALL), "no")
+    # a row for each document, with all of its items: what they share is not copied for each of them
+    near_items = cases.select("id", "no", F.col("at.p").alias("p"), F.col("at.k").alias("k")).join(small_side(items, SMALL), "no")
+    listed = near_items.groupBy("id").agg(F.collect_list(F.struct("no", "item_id", "passage", "p", "k")).alias("cases"))
+    texts = kept.select("id", "k", "starts", "parts", "own").join(listed, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms = Templates(Bits(names.value))
@@ -464,9 +465,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
             rows = []
             for x in pdf.itertuples():
                 own = set(x.own)
-                kind = _judged(read.item(x.no, x.passage), read.document(x.id, x.starts, x.parts, own), x.at_p, x.at_k, forms, own)
-                if kind:
-                    rows.append((x.id, x.k, x.item_id, kind))
+                document = read.document(x.starts, x.parts, own)
+                for c in x.cases:
+                    kind = _judged(read.item(c["no"], c["passage"]), document, np.asarray(c["p"]), np.asarray(c["k"]), forms, own)
+                    if kind:
+                        rows.append((x.id, x.k, c["item_id"], kind))
             yield pd.DataFrame(rows, columns=["id", "k", "item_id", "kind"])
 
     found = texts.mapInPandas(run, f"id long, k {kinds[0]}, item_id {kinds[1]}, kind string")

@@ -132,7 +132,8 @@ def persons(text: str, things: set[str], lexicon: Lexicon = NONE) -> Iterator[tu
     toks = list(_TOKEN.finditer(text))
     low = [m.group().lower() for m in toks]
     taken = [False] * len(toks)
-    known = [lexicon.look(w) for w in low]
+    told, look = lexicon.memo.get, lexicon.look
+    known = [told(w) or look(w) for w in low]
 
     def found(i: int, j: int, gender: str, given: str | None, surname: str | None, end: int | None = None):
         taken[i : j + 1] = [True] * (j + 1 - i)
@@ -204,10 +205,10 @@ def persons(text: str, things: set[str], lexicon: Lexicon = NONE) -> Iterator[tu
         if taken[i] or not _cap(m.group()) or _no_name(low[i]) or len(low[i]) == 1:
             continue
         gap = text[toks[i - 1].end() : m.start()] if i else ""
-        told = i > 0 and (low[i - 1] in _SIGNED and gap.strip() in ("", ",") or low[i - 1] in _LABELS and gap.strip() == ":" or gap.isspace() and (_TOLD.search(text[: m.start()][-60:]) or _ALONE.search(text[: m.start()][-60:])))
+        introduced = i > 0 and (low[i - 1] in _SIGNED and gap.strip() in ("", ",") or low[i - 1] in _LABELS and gap.strip() == ":" or gap.isspace() and (_TOLD.search(text[: m.start()][-60:]) or _ALONE.search(text[: m.start()][-60:])))
         j = _behind(text, toks, i)
         pair = j is not None and not taken[j] and _cap(toks[j].group()) and len(low[j]) > 1 and not _no_name(low[j])
-        if pair and (told or known[j][1]):
+        if pair and (introduced or known[j][1]):
             more = _behind(text, toks, j)
             if more is None or not _cap(toks[more].group()) or low[more] not in NO_PERSON:
                 yield found(i, j, "n", low[i], low[j])

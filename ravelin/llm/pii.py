@@ -86,10 +86,12 @@ PHONE = re.compile(
 _PHONE_WORD = re.compile(r"(?:phone|tel|téléphone|teléfono|telefon|call|fax|mobile|handy|appeler|llame|rückruf|callback)[^.!?\n]{0,40}$", re.I)
 #: Signs without which a text can hold nothing of a kind; looked for in lower case before the patterns are.
 _ID_SIGNS = "ssn|security|ni n|nino|insurance|cpf|dni|nie|nif|nir|pesel|bsn|pass|ausweis|card|tax|tin|steuer|sozial|curit|pasaporte".split("|")
-_WAY_SIGNS = (
-    "street|st.|road|rd|lane|ln|avenue|ave|way|hill|cres|close|drive|court|ct|place|square|sq|terrace|boulevard|blvd|row|mews|gardens|grove|parkway|"
-    "stra|str.|weg|allee|platz|gasse|ring|ufer|damm|chaussee|rue|chemin|allée|impasse|quai|cours|route|calle|avda|avenida|plaza|paseo|camino|carrera|ronda|rua|travessa|via|viale|ulica|ul."
-).split("|")
+_WAYS = set(
+    "street st road rd lane ln avenue ave way hill crescent cres close drive court ct place square sq terrace boulevard blvd row mews gardens grove parkway "
+    "strasse straße str weg allee platz gasse ring rue chemin allée impasse quai cours route calle avda avenida plaza paseo camino carrera ronda rua travessa via viale ulica ul".split()
+)
+_WAY_ENDS = ("straße", "strasse", "str", "weg", "allee", "platz", "gasse", "ring", "ufer", "damm", "chaussee")
+_LETTERS_ONLY = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"\bat\b|[\[({<]at[\])}>]")
 
@@ -148,7 +150,8 @@ def detect(text: str, lexicon: Lexicon = names.NONE) -> list[Item]:
                 for m in pattern.finditer(left):
                     if ok(m.group()):
                         take(m.start(), m.end(), "id_number")
-        if any(x in low for x in _WAY_SIGNS):
+        words = _LETTERS_ONLY.findall(low)
+        if not _WAYS.isdisjoint(words) or any(w.endswith(_WAY_ENDS) for w in words):
             for m in ADDRESS.finditer(left):
                 take(m.start(), m.end(), "address")
         if digits >= 8:
